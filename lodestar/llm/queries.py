@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import lines, terms
+from lodestar.llm import lines, neardup, terms
 from lodestar.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of log rows that repeat one another with small changes."""
+    pairs = neardup.near_pairs(table(spark, sf_dir, "youtube_items"))
+    return pairs.select(F.col("id_a").alias("log_id_a"), F.col("id_b").alias("log_id_b"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's class of equal shingle sets, its links, and its group of linked classes."""
+    return neardup.near_groups(table(spark, sf_dir, "youtube_items"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Description lines that a channel repeats, to be removed."""
     return lines.removable(table(spark, sf_dir, "youtube_items"), "log_id", "channel_title", "description")
@@ -46,8 +57,16 @@ t AS (SELECT term, count(*) AS occurrences, count(DISTINCT log_id) AS records FR
 m AS (SELECT *, CASE WHEN occurrences < 5 OR records < 3 THEN 'rare'
   WHEN records > 0.15 * (SELECT count(*) FROM youtube_items) THEN 'common' END AS mark FROM t)"""
 
-QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_terms": p3_terms}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_terms": p3_terms}
 SQL = {
+    "p1_found": """WITH w AS (SELECT log_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(description, '')), '[a-z0-9]+') AS w
+  FROM youtube_items),
+s AS (SELECT DISTINCT log_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g
+  FROM w WHERE len(w) >= 20),
+n AS (SELECT log_id, count(*) AS n FROM s GROUP BY 1),
+j AS (SELECT a.log_id AS log_id_a, b.log_id AS log_id_b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.log_id < b.log_id GROUP BY 1, 2)
+SELECT log_id_a, log_id_b FROM j JOIN n na ON na.log_id = log_id_a JOIN n nb ON nb.log_id = log_id_b
+WHERE shared / (na.n + nb.n - shared) >= 0.6""",
     "p2_found": f"WITH {_LINES} SELECT log_id, line_no::INTEGER AS line_no FROM hit",
     "p2_cleaned": f"""WITH {_LINES},
 kept AS (SELECT i.log_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS d FROM youtube_items i

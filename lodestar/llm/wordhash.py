@@ -15,7 +15,7 @@ _BASE_INV = U(pow(int(_BASE), -1, 1 << 64))
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(ord("a"), ord("z") + 1), *range(ord("0"), ord("9") + 1)]] = True
 #: Texts are handled in slices of about this many characters, which bounds memory whatever the batch holds.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -23,7 +23,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
-        have = np.cumprod(np.concatenate([[U(1)], np.full(max(n, 1 << 20) - 1, base, dtype=U)]), dtype=U)
+        have = np.cumprod(np.concatenate([[U(1)], np.full(max(n, 1 << 21) - 1, base, dtype=U)]), dtype=U)
         _powers[name] = have
     return have[:n]
 
