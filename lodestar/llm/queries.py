@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import lines, neardup, terms
+from lodestar.llm import canon, lines, neardup, packing, terms, tokens, truncation
 from lodestar.session import table
 
 
@@ -42,6 +42,48 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gazetteer key that each playlist and item title names."""
+    lists, items, gazetteer = (table(spark, sf_dir, t) for t in ("playlist_resolved", "youtube_items", "gazetteer"))
+    values = lists.select(F.lit("playlist").alias("record_kind"), F.col("playlist_id").alias("record_id"), F.col("title").alias("value"))
+    values = values.unionByName(items.select(F.lit("item").alias("record_kind"), F.col("log_id").alias("record_id"), F.col("title").alias("value")))
+    names = gazetteer.select(F.col("place_name").alias("name"), F.col("place_key").alias("key"))
+    names = names.unionByName(gazetteer.select(F.col("place_key").alias("name"), F.col("place_key").alias("key")))
+    aliases = table(spark, sf_dir, "place_aliases").join(gazetteer.select("place_key"), "place_key", "left_semi")
+    names = names.unionByName(aliases.select(F.col("alias").alias("name"), F.col("place_key").alias("key")))
+    states = gazetteer.where("kind = 'state'").select(F.col("place_name").alias("state_name"), F.col("place_key").alias("region"))
+    regions = gazetteer.where("kind = 'city'").select("place_key", "state_name").join(states, "state_name").select(F.col("place_key").alias("key"), "region")
+    return canon.map_values(values, names, regions).withColumnRenamed("key", "place_key")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document's text."""
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of 2,048 tokens."""
+    sizes = tokens.count(table(spark, sf_dir, "documents"))
+    return packing.pack(sizes, "doc_id", "n_tokens", 2048)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers there are, what they hold, and the share of room unused."""
+    held = p8_containers(spark, sf_dir).where("size > 0").groupBy("container_id").agg(F.sum("size").alias("held"))
+    out = held.agg(F.count("*").alias("containers"), F.sum("held").alias("tokens"), F.max("held").alias("fullest"))
+    return out.withColumn("unused", F.round(1 - F.col("tokens") / (F.col("containers") * 2048), 6))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text breaks off."""
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
+def p9_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cut texts of each source."""
+    return truncation.by_source(table(spark, sf_dir, "documents"))
+
+
 _LINES = r"""l AS (SELECT log_id, channel_title, unnest(string_split(description, chr(10))) AS line,
     generate_subscripts(string_split(description, chr(10)), 1) AS line_no
   FROM youtube_items WHERE description IS NOT NULL AND channel_title IS NOT NULL),
@@ -57,7 +99,9 @@ t AS (SELECT term, count(*) AS occurrences, count(DISTINCT log_id) AS records FR
 m AS (SELECT *, CASE WHEN occurrences < 5 OR records < 3 THEN 'rare'
   WHEN records > 0.15 * (SELECT count(*) FROM youtube_items) THEN 'common' END AS mark FROM t)"""
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_terms": p3_terms}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_terms": p3_terms,
+    "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_sources": p9_sources,
+}
 SQL = {
     "p1_found": """WITH w AS (SELECT log_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(description, '')), '[a-z0-9]+') AS w
   FROM youtube_items),
