@@ -121,6 +121,9 @@ def cuts(text: str, limits: tuple[int, ...], habits: dict[int, str], rng: np.ran
         mark = "" if rng.random() < 0.8 else str(rng.choice(MARKS))
         if mark == "...":
             mark = ""
+        line = text[text.rfind("\n", 0, at) + 1 : (text.find("\n", at) + 1 or len(text) + 1) - 1].rstrip()
+        if line.rstrip(CLOSERS)[-1:] not in STOPS and not (text[at - 1].isalnum() and text[at : at + 1].isalnum()):
+            return None  # lists, credits and keywords are as complete after any of their words
         part = text[:at] + mark
         n = len(part)
     body = part[: len(part) - len(mark)] if mark else part
