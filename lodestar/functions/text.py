@@ -74,18 +74,17 @@ def bigrams(w: Column) -> Column:
 
 
 def ngrams(w: Column, most: int) -> Column:
-    """Structs (start, size, phrase) of all runs of 1 to most words, longest first, then from the left."""
-    per = [
-        F.when(
-            F.size(w) >= k,
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - k),
-                lambda i, k=k: F.struct(i.alias("start"), F.lit(k).alias("size"), F.array_join(F.slice(w, i + 1, k), " ").alias("phrase")),
-            ),
-        ).otherwise(F.array().cast("array<struct<start:int,size:int,phrase:string>>"))
-        for k in range(most, 0, -1)
-    ]
-    return F.concat(*per)
+    """Structs (start, size, phrase) of all runs of 1 to most words, longest first, then from the left.
+
+    w should be a column of its own: an expression would be worked out again for every run.
+    """
+
+    def of(k: int) -> Column:
+        run = lambda i: F.struct(i.alias("start"), F.lit(k).alias("size"), F.array_join(F.slice(w, i + 1, k), " ").alias("phrase"))
+        made = F.transform(F.sequence(F.lit(0), F.size(w) - k), run)
+        return F.when(F.size(w) >= k, made).otherwise(F.array().cast("array<struct<start:int,size:int,phrase:string>>"))
+
+    return F.concat(*[of(k) for k in range(most, 0, -1)])
 
 
 def word_start(title: Column, word: str) -> Column:
