@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,16 +99,18 @@ def covered_places(clips: DataFrame, places: DataFrame, least: int = 20) -> Data
     return usable.where(F.col("usable") >= least).join(towns, "place_id").select("place_id", "name", "usable")
 
 
-def home_clips(clips: DataFrame, places: DataFrame, country: str = "India", distant: str = r"(?!)", signal: str = r"(?i)\bindia\b", names: list[str] | None = None) -> DataFrame:
-    """clips with `home`: a placed clip by its place's country; an unplaced one is home unless its title looks distant,
-    and then only if it holds the home signal or one of the names (of at least five letters)."""
-    at = places.select(F.col("id").alias("place_id"), F.col("country"))
-    long = sorted((n for n in names or [] if len(n) >= 5), key=lambda n: (-len(n), n))
+def home_clips(clips: DataFrame, places: DataFrame, country: str = "India", distant: str = r"(?!)", signal: str = r"(?i)\bindia\b") -> DataFrame:
+    """clips with `home`: a placed clip by its place's country (a lost place is not home); an unplaced one is home unless
+    its title looks distant, and then only if it holds the home signal or the name of a place at home of five letters."""
+    at = places.select(F.col("id").alias("place_id"), "country")
     title = F.col("title")
-    named = reduce(lambda a, b: a | b, [F.contains(F.lower(title), F.lit(n.lower())) for n in long], F.lit(False))
-    by_title = F.when(~F.rlike(title, F.lit(tx.ascii_borders(distant))), True).when(F.rlike(title, F.lit(tx.ascii_borders(signal))), True).otherwise(named)
-    home = F.when(F.col("place_id").isNull(), by_title).otherwise(F.coalesce(F.col("country") == country, F.lit(False)))
-    return clips.join(at, "place_id", "left").withColumn("home", home).drop("country")
+    far = F.col("place_id").isNull() & F.rlike(title, F.lit(tx.ascii_borders(distant)))
+    names = places.where((F.col("country") == country) & (F.length("name") >= 5)).select(F.array_join(tx.words(F.col("name")), " ").alias("phrase")).where("phrase <> ''").distinct()
+    runs = clips.where(far).select("id", tx.words(title).alias("w")).select("id", F.explode(tx.ngrams(F.col("w"), 4)).alias("g")).select("id", F.col("g.phrase").alias("phrase"))
+    named = runs.join(names, "phrase", "left_semi").select("id").distinct().withColumn("named", F.lit(True))
+    signalled = F.rlike(title, F.lit(tx.ascii_borders(signal))) | F.coalesce("named", F.lit(False))
+    home = F.when(F.col("place_id").isNull(), F.when(~far, True).otherwise(signalled)).otherwise(F.coalesce(F.col("country") == country, F.lit(False)))
+    return clips.join(at, "place_id", "left").join(named, "id", "left").withColumn("home", home).drop("country", "named")
 
 
 def home_first(clips: DataFrame, page: int, size: int) -> DataFrame:
