@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
+from lodestar.session import cut
 
 VERSION = 1
 TITLE_WEIGHT, MOST_TF = 3, 65535
@@ -45,6 +46,11 @@ def build(clips: DataFrame, title_weight: int = TITLE_WEIGHT) -> Index:
     return Index(docs, postings, terms, stats)
 
 
+def warmed(index: Index) -> Index:
+    """The index on the shared checkpoint folder, for several searches of one session."""
+    return Index(*(cut(t) for t in (index.docs, index.postings, index.terms, index.stats)))
+
+
 def save(index: Index, path: str, archive_size: int) -> None:
     """Write the index; postings are ranged and sorted by term, so that a reader of few terms skips row groups."""
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
