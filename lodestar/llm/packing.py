@@ -3,7 +3,7 @@
 Only the histogram of sizes, at most `capacity` numbers, comes to the driver. There the configuration linear program (how
 often to use each way of filling a container) is solved approximately by multiplicative weights: sizes that are covered
 too little gain weight, and a bounded-knapsack dynamic program finds the fill of the greatest weight. The solution is
-rounded down; the rest is filled by subset sums around the largest size left. The plan is a table of runs by size, and
+rounded, and what the rounding leaves is packed by best fit, largest first. The plan is a table of runs by size, and
 every item finds its container from its rank among the items of its size, which is computed with salts, so that a size
 held by a third of all items is spread over many tasks.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestar.session import broadcast_if_small, cut
 
 #: Rounds of the multiplicative weights, their step, and items of one size in a salt's task.
-ROUNDS, STEP, SALT_ROWS = 150, 0.5, 500_000
+ROUNDS, STEP, SALT_ROWS = 150, 8.0, 500_000
 
 
 def _split(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -54,64 +54,78 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, worth: np.ndarray, capacity:
     return out
 
 
-def fullest(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each size whose sum is the largest possible within the capacity, by bit sets of reachable sums."""
-    bundles = _split(sizes, counts, capacity)
-    mask, sums, steps = (1 << (capacity + 1)) - 1, 1, []
-    for n, (i, k) in enumerate(bundles):
-        steps.append(sums)
-        sums |= (sums << int(sizes[i]) * k) & mask
-        if sums >> capacity & 1:
-            bundles = bundles[: n + 1]
-            break
-    at, out = sums.bit_length() - 1, np.zeros(len(sizes), dtype=np.int64)
-    for b in range(len(bundles) - 1, -1, -1):
-        if not steps[b] >> at & 1:
-            i, k = bundles[b]
-            out[i] += k
-            at -= int(sizes[i]) * k
-    return out
+def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Best-fit decreasing over the histogram: equal containers are one group, so the work follows the number of sizes."""
+    groups: dict[bytes, int] = {}
+    fills: dict[bytes, tuple[np.ndarray, int]] = {}
+    by_room: dict[int, set[bytes]] = {}
+
+    def put(fill: np.ndarray, room: int, n: int) -> None:
+        key = fill.tobytes()
+        groups[key] = groups.get(key, 0) + n
+        fills[key] = (fill, room)
+        by_room.setdefault(room, set()).add(key)
+
+    for i in range(len(sizes) - 1, -1, -1):
+        n, s = int(left[i]), int(sizes[i])
+        while n > 0:
+            room = min((r for r, own in by_room.items() if r >= s and own), default=None)
+            if room is None:
+                per = min(capacity // s, n)
+                fill = np.zeros(len(sizes), dtype=np.int64)
+                fill[i] = per
+                put(fill, capacity - per * s, n // per)
+                n -= per * (n // per)
+                continue
+            key = min(by_room[room])
+            fill, _ = fills[key]
+            per = min(room // s, n)
+            many = min(groups[key], n // per)
+            groups[key] -= many
+            if not groups[key]:
+                by_room[room].discard(key)
+                del groups[key]
+            more = fill.copy()
+            more[i] += per
+            put(more, room - per * s, many)
+            n -= per * many
+    return [(fills[k][0], n) for k, n in sorted(groups.items()) if n]
 
 
 def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """(copies of each size, how many containers) for all items; sizes rise, 1 to capacity."""
+    """(copies of each size, how many containers) for all items; sizes rise, 1 to capacity.
+
+    A size's weight is its share of a container times exp(-STEP * how far it is covered ahead of time). The fractions of
+    the fills are rounded by their running sum, as far as the items go; the rest is packed by best fit, largest first.
+    """
     sizes, left = np.asarray(sizes, dtype=np.int64), np.asarray(counts, dtype=np.int64).copy()
     if not len(sizes):
         return []
     least = max(1.0, float((sizes * left).sum()) / capacity)  # no packing needs fewer containers
-    weight, fills = sizes / capacity, {}
-    demand = left.astype(float)
-    for _ in range(rounds):
+    fills: dict[bytes, float] = {}
+    covered, demand = np.zeros(len(sizes)), left.astype(float)
+    for k in range(rounds):
+        weight = sizes / capacity * np.exp(-STEP * np.clip(covered - k / rounds, -1, 1))
         fill = knapsack(sizes, left, weight, capacity)
+        covered += fill * least / rounds / demand
         key = fill.tobytes()
-        fills[key] = fills.get(key, 0) + least / rounds
-        covered = fill * least / demand
-        weight = weight * np.exp(-STEP * (covered / max(covered.max(), 1e-12)))
-        weight /= weight.max()
-        weight = np.maximum(weight, 1e-9 * sizes / capacity)
-    out = []
+        fills[key] = fills.get(key, 0.0) + least / rounds
+    out, owed = [], 0.0
     for key, x in sorted(fills.items(), key=lambda kv: (-kv[1], kv[0])):
         fill = np.frombuffer(key, dtype=np.int64)
-        used = fill > 0
-        # a fill that leaves room would be better made from the rest
-        if (fill * sizes).sum() < capacity - max(1, capacity // 100):
+        owed += x
+        # the small sizes are worth more where they close a gap than in a fill that leaves one
+        if (fill * sizes).sum() < capacity - max(1, capacity // 200):
             continue
-        n = min(int(x), int((left[used] // fill[used]).min()))
+        n = min(int(owed), int((left[fill > 0] // fill[fill > 0]).min()))
         if n > 0:
             out.append((fill, n))
             left = left - fill * n
-    while left.any():
-        top = int(np.flatnonzero(left)[-1])
-        spare = left.copy()
-        spare[top] -= 1
-        own = np.flatnonzero(spare)[::-1]
-        fill = np.zeros(len(sizes), dtype=np.int64)
-        fill[top] = 1
-        fill[own] += fullest(sizes[own], spare[own], capacity - int(sizes[top]))
-        n = int((left[fill > 0] // fill[fill > 0]).min())
-        out.append((fill, n))
-        left = left - fill * n
-    return out
+            owed -= n
+    out += best_fit(sizes, left, capacity)
+    # on a few awkward items rounding can cost more than the program gains
+    plain = best_fit(sizes, np.asarray(counts, dtype=np.int64), capacity)
+    return min(out, plain, key=lambda p: sum(n for _, n in p))
 
 
 def pack(items: DataFrame, item_id: str, size: str, capacity: int, rounds: int = ROUNDS) -> DataFrame:
