@@ -84,6 +84,7 @@ class Model:
 
     def __init__(self) -> None:
         self.w = np.zeros(WEIGHTS, dtype=np.float32)
+        self.w[hashed(["bias"])] = -5  # unfitted, it calls every text whole
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> None:
         rng, g2 = np.random.default_rng(seed), np.full(WEIGHTS, 1e-6)
@@ -170,6 +171,8 @@ def train(sample: pd.DataFrame, rounds: int = ROUNDS, seed: int = 11) -> tuple[M
     """Fit the model on a bounded sample of prepared rows (src, n_chars, body, limits)."""
     rng = np.random.default_rng(seed)
     sample = sample.reset_index(drop=True)
+    if not len(sample):
+        return Model(), frozenset()
     limits = [tuple(int(v) for v in x) for x in sample.limits]
     bodies, lengths = sample.body.tolist(), sample.n_chars.tolist()
     # words that stand before another word or a stop are whole
@@ -231,7 +234,7 @@ def scored(df: DataFrame, row_id: str = "doc_id", source: str = "source", text:
     """(row_id, src, p): the chance that each non-blank text is cut.
 
     Null, empty and blank texts are not cut and have no row; a null source is a source of its own; repeated rows are scored
-    each; without texts to learn from every chance is 0.5 at most. Texts of any length are read whole for footers, lines
+    each; without texts to learn from every text counts as whole. Texts of any length are read whole for footers, lines
     and words; what decides lies at their end.
     """
     spark = df.sparkSession
