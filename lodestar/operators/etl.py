@@ -262,15 +262,19 @@ def known_ids(log: DataFrame, id_col: Column) -> DataFrame:
 def until_known_run(pages: DataFrame, known: DataFrame, run: int = 100) -> DataFrame:
     """The new rows of a newest-first listing (at, id), read until `run` known ids in a row have passed.
 
-    Gaps and islands over the listing's order. A listing is one crawl's pages; it is sorted as one group.
+    No task sees the whole listing: rows are numbered by ranges, and new rows fall into buckets of `run` positions. Between
+    a bucket's last new row and the first of the next bucket lies the only gap that can be long enough; where the next
+    bucket is empty, it is. Position 0 stands for the start.
     """
-    seen = pages.join(known.select("id").distinct().withColumn("seen", F.lit(1)), "id", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    order = Window.orderBy("at")
-    island = F.sum(1 - F.col("seen")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    runs = seen.withColumn("island", island)
-    length = F.sum("seen").over(Window.partitionBy("island").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    stop = runs.withColumn("length", length).where(F.col("length") >= run).agg(F.min("at").alias("stop"))
-    return seen.crossJoin(F.broadcast(stop)).where("(stop is null or at <= stop) and seen = 0").select("at", "id")
+    from lodestar.operators.archive import numbered
+
+    placed = numbered(pages, [F.col("at"), F.col("id")])
+    new = placed.join(known.select("id").distinct(), "id", "left_anti")
+    at = new.select("pos").unionByName(new.sparkSession.createDataFrame([(0,)], "pos long"))
+    ends = at.groupBy(F.floor(F.col("pos") / run).alias("bucket")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    after = ends.select((F.col("bucket") - 1).alias("bucket"), F.col("first").alias("following"))
+    gaps = ends.join(after, "bucket", "left").where(F.col("following").isNull() | (F.col("following") - F.col("last") > run))
+    return new.crossJoin(F.broadcast(gaps.agg(F.min("last").alias("stop")))).where("pos <= stop").select("at", "id")
 
 
 def backfill_batches(asked: DataFrame, known: DataFrame, size: int = 50) -> DataFrame:

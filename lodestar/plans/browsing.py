@@ -144,13 +144,14 @@ def autocomplete(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def place_covers(spark, sf_dir):  # noqa: ANN001, ANN201
-    """One clip for the tile of each place with two clips, the best establishing subject first, none twice."""
+    """One clip for the tile of each of the 96 places with the most clips, the best establishing subject first, none twice."""
     clips = _clips(spark, sf_dir)
-    top = browse.clips_for_place(clips, 24).where("total >= 2").join(clips.select("id", "subjects"), "id")
-    tile = F.dense_rank().over(Window.orderBy("place_id"))
+    most = clips.where("place_id is not null").groupBy("place_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "place_id").limit(96)
+    most = most.withColumn("tile", F.row_number().over(Window.orderBy(F.desc("n"), "place_id"))).select("place_id", "tile")  # at most 96 rows
+    top = browse.clips_for_place(clips.join(F.broadcast(most.select("place_id")), "place_id", "left_semi"), 24).join(clips.select("id", "subjects"), "id").join(F.broadcast(most), "place_id")
     rank = F.array(*[F.lit(s) for s in ESTABLISHING])
     worth = F.array_min(F.filter(F.transform("subjects", lambda s: F.array_position(rank, s)), lambda p: p > 0))
-    tiles = top.select(F.lit(1).alias("page"), tile.alias("tile"), F.col("rank").alias("at"), "id", worth.cast("double").alias("worth"))
+    tiles = top.select(F.lit(1).alias("page"), "tile", F.col("rank").alias("at"), "id", worth.cast("double").alias("worth"))
     return browse.greedy_picks(tiles).select("tile", "id")
 
 
