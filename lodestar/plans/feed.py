@@ -148,7 +148,8 @@ def feed(spark, sf_dir):  # noqa: ANN001, ANN201
     clips, home, places = cut(_clips(spark, sf_dir)), cut(_home(spark, sf_dir)), cut(_places(spark, sf_dir))
     asks, built, protected = _asks(spark, sf_dir), index.warmed(index.build(clips)), search.protected_words(_places(spark, sf_dir))
     asks = cut(asks)
-    found = recommend.candidates(asks, built, home, places, protected, search.variants(spark))
+    questions = asks.groupBy("user_id").agg(F.countDistinct("at").alias("n")).agg(F.max("n").alias("n")).first().n or 1
+    found = recommend.candidates(asks, built, home, places, protected, search.variants(spark), questions=questions)
     lists = found.join(asks.select("ask_id", "answer_id", "part"), "ask_id").select("answer_id", F.col("part").alias("list_no"), "ord", "id")
     pools = recommend.interleave(lists).join(asks.select("answer_id", "user_id", "at", F.col("whole").alias("query")).distinct(), "answer_id")
     pools = pools.join(clips.select("id", "title", "place_id", "uploaded_at", "subjects"), "id")

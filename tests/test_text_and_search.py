@@ -85,3 +85,30 @@ def test_diverse_take_is_bounded_and_without_repeats():
 
 def test_keyword_rule_covers_every_subject():
     assert {s for s, _ in vocab.subject_keywords()} == set(vocab.SUBJECTS)
+
+
+def test_feed_reaches_clips_behind_many_alike_ones(spark):
+    n = 1300
+    rows = [(f"a{i:04}", "boats lake", "p", "2020-01-01") for i in range(n)] + [(f"b{i}", f"boats lake {w} evening", "p", f"2020-02-0{i + 1}") for i, w in enumerate(("potters", "camels", "weavers"))]
+    rows += [(f"c{i}", f"a much longer title about {w}", "q", None) for i, w in enumerate(("temples", "glaciers", "deserts", "orchards", "monsoons", "railways"))]
+    df = spark.createDataFrame(rows, "id string, title string, place_id string, uploaded_at string")
+    df = df.withColumn("text", F.lit("")).withColumn("subjects", F.array().cast("array<string>")).withColumn("home", F.lit(True))
+    places = spark.createDataFrame([("p", "Pier", "S", "East"), ("q", "Quay", "S", "East")], "id string, name string, state string, region string")
+    none, words = [], "array<string>"
+    asks = spark.createDataFrame(
+        [(k, "zzqq", "zzqq", none, none, none, ["East"], None, None, None) for k in (1, 2)],
+        f"ask_id int, answer string, query string, places {words}, states {words}, subjects {words}, regions {words}, c_subjects {words}, c_words {words}, c_not {words}",
+    )
+    found = recommend.candidates(asks, index.build(df), df, places, search.protected_words(places), questions=2)
+    order = sorted(rows, key=lambda r: (len(r[1]), r[0]))
+    ranks = {r[0]: k + 1 for k, r in enumerate(order)}
+    kept = found.collect()
+    assert all(ranks[r.id] == r.ord for r in kept) and len(kept) == 2 * (11 + 3 + 6)
+    pools = found.join(df.select("id", "title", "place_id", "uploaded_at"), "id").select(F.lit(1).alias("user_id"), F.col("ask_id").alias("at"), F.lit("zzqq").alias("query"), "ord", "id", "title", "place_id", "uploaded_at")
+    got = {(r.at, r.slot): (r.id, r.more) for r in recommend.picks(pools).collect()}
+    used = set()
+    for at in (1, 2):
+        want = recommend.diverse_take(order, 5, used, "zzqq")
+        used.update(want)
+        assert [got[at, slot] for slot in range(5)] == [(i, True) for i in want]
+    assert any(i.startswith("c") for i in used)
