@@ -149,14 +149,15 @@ def search(
     Within the first 400, titles that keep the query's words together are moved up. Queries without terms have no rows.
     clips (id, title, text) must have unique ids.
     """
-    found = matched(queries, index, clips, protected, spellings, demote)
+    # rules meet one-word queries only, which have no phrases: leaving rows out before the cut is leaving them out of all hits
+    found = not_colliding(matched(queries, index, clips, protected, spellings, demote))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     top = found.withColumn("base", F.row_number().over(order)).where(F.col("base") <= max(limit, WINDOW) + (WINDOW if phrases else 0))
     if phrases:
         boosted = F.when(F.col("base") <= WINDOW, F.round(F.col("score") * phrase_bonus(F.col("query"), F.col("title")), 6)).otherwise(F.col("score"))
         top = top.withColumn("score", boosted)
     order = Window.partitionBy("query_id").orderBy(F.col("base") > WINDOW, F.desc("score"), "base")
-    ranked = not_colliding(top).withColumn("rank", F.row_number().over(order))
+    ranked = top.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
 
 

@@ -112,3 +112,11 @@ def test_feed_reaches_clips_behind_many_alike_ones(spark):
         used.update(want)
         assert [got[at, slot] for slot in range(5)] == [(i, True) for i in want]
     assert any(i.startswith("c") for i in used)
+
+
+def test_collisions_do_not_shorten_a_result(spark):
+    rows = [(f"k{i:04}", "Kailash Kher", "") for i in range(900)] + [(f"m{i}", "A long walk around the holy mount Kailash in early winter", "") for i in range(5)]
+    df = spark.createDataFrame(rows, "id string, title string, text string")
+    asked = spark.createDataFrame([(1, "kailash")], "query_id int, query string")
+    got = search.search(asked, index.build(df), df, 60).orderBy("rank").collect()
+    assert [(r.rank, r.id) for r in got] == [(i + 1, f"m{i}") for i in range(5)]
