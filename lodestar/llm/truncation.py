@@ -3,15 +3,16 @@
 A hashed logistic regression tells cut texts from whole ones. It is trained on a bounded sample: texts that look whole are
 the negatives, and copies of them, cut at random places and at their source's length limits with the marks that such cuts
 leave, the positives. The features are closing characters and words, punctuation, the shape of the last line, and the
-distance of the length from a limit of the source. Limits (lengths that are far too frequent in a source) and footers
-(lines that a source repeats) are counted over all rows; every row is scored.
+distance of the length from a limit of the source. Limits (lengths that are far too frequent in a source), the marks left at
+them, footers (lines that a source repeats) and known words are counted over all rows; every row is scored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,11 @@ LIMIT_ROWS, LIMIT_SHARE = 4, 0.015
 MARKS = ("[...]", "[…]", "(...)", "...", "…", "\N{REPLACEMENT CHARACTER}")
 STOPS = ".!?।॥。！？"
 CLOSERS = "\"'»”’)]*_"
+#: Texts that a known word stands in, and counts that a task holds before it passes them on.
+KNOWN_TEXTS, HELD = 3, 200_000
 _TAIL = 400
+#: Words that stand before another word or a stop are whole.
+_WHOLE = re.compile(r"\w+(?=\W+\w)|\w+(?=[.!?।,;:])")
 _DIGITS, _TOKEN = re.compile(r"\d+"), re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -42,11 +47,21 @@ def shape(token: str) -> str:
     return token
 
 
-def features(text: str, n_chars: int, limits: tuple[int, ...], words: frozenset[str] = frozenset()) -> list[str]:
-    """Names of the active features of a text (footers already left out) of n_chars characters in the source's form."""
+def unmarked(text: str) -> tuple[str, str, str]:
+    """A text without the white space at its end, the mark of a cut there, and the text before it."""
     core = text.rstrip()
     mark = next((m for m in MARKS if core.endswith(m)), "")
-    body = core[: len(core) - len(mark)].rstrip() if mark else core
+    return core, mark, core[: len(core) - len(mark)].rstrip() if mark else core
+
+
+def last_word(text: str) -> str:
+    return re.search(r"(\w*)\W*$", unmarked(text)[2].rstrip(CLOSERS)[-40:]).group(1).lower()
+
+
+def features(text: str, n_chars: int, limits: tuple[int, ...], is_known: bool) -> list[str]:
+    """Names of the active features of a text (footers already left out) of n_chars characters in the source's form, and
+    whether its last word is known."""
+    core, mark, body = unmarked(text)
     glued = bool(mark) and not core[: len(core) - len(mark)][-1:].isspace()
     end = body[-1:]
     bare = body.rstrip(CLOSERS)
@@ -55,7 +70,7 @@ def features(text: str, n_chars: int, limits: tuple[int, ...], words: frozenset[
     last = lines[-1].strip() if lines else ""
     tokens = _TOKEN.findall(last)
     one = "one" if "\n" not in body.strip() else "many"
-    word = re.search(r"(\w*)\W*$", bare[-40:]).group(1).lower()
+    word = last_word(text)
     near = [x - n_chars for x in limits if 0 <= x - n_chars <= 4]
     limit = "at" if 0 in near else "near" if near else "no"
     opening = " ".join(shape(t) if t[:1].islower() or t.isdigit() else t for t in tokens[:1])
@@ -64,7 +79,7 @@ def features(text: str, n_chars: int, limits: tuple[int, ...], words: frozenset[
     stops = "s" if re.search(rf"[{re.escape(STOPS)}]\s", body[-_TAIL:]) else "-"
     size = len(tokens)
     long = "xs" if size < 4 else "s" if size < 9 else "m" if size < 16 else "l"
-    known = "known" if word in words else "new"
+    known = "known" if is_known else "new"
     here = f"{kind}|{mark}|{limit}"
     base = [
         "bias", f"kind={kind}", f"mark={mark}", f"limit={limit}", f"here={here}", f"glued={mark}{glued}{kind}", f"one={one}|{stops}|{here}",
@@ -167,52 +182,70 @@ def prepared(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     return rows.select("row_id", "src", F.length("text").alias("n_chars"), body.alias("body"), F.coalesce("limits", F.array().cast("array<int>")).alias("limits"))
 
 
-def train(sample: pd.DataFrame, rounds: int = ROUNDS, seed: int = 11) -> tuple[Model, frozenset[str]]:
-    """Fit the model on a bounded sample of prepared rows (src, n_chars, body, limits)."""
+def counted(rows: DataFrame) -> DataFrame:
+    """(src, n, word, texts) over all prepared rows, whole bodies read: with null src and n, how many texts each whole word
+    stands in, words of fewer than KNOWN_TEXTS left out; else how many texts of a source end in each mark at its limit n."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame({"src": [k[0] for k in held], "n": pd.array([k[1] for k in held], dtype="Int32"), "word": [k[2] for k in held], "texts": list(held.values())})
+            held.clear()
+            return out
+
+        for p in parts:
+            for s, n, b, ls in zip(p.src, p.n_chars, p.body, p.limits):
+                held.update((None, None, w) for w in set(_WHOLE.findall(b.lower())))
+                if n in ls:
+                    held[s, int(n), unmarked(b)[1]] += 1
+                if len(held) >= HELD:
+                    yield flush()
+        if held:
+            yield flush()
+
+    each = rows.select("src", "n_chars", "body", "limits").mapInPandas(run, "src string, n int, word string, texts long")
+    total = each.groupBy("src", "n", "word").agg(F.sum("texts").alias("texts"))
+    return total.where(F.col("src").isNotNull() | (F.col("texts") >= KNOWN_TEXTS))
+
+
+def train(
+    sample: pd.DataFrame, marks: dict[tuple[str, int], str], known: Callable[[set[str]], set[str]], rounds: int = ROUNDS, seed: int = 11
+) -> Model:
+    """Fit the model on a bounded sample of prepared rows (src, n_chars, body, limits); marks has what a source leaves at a
+    limit, known gives the known ones of some words."""
     rng = np.random.default_rng(seed)
     sample = sample.reset_index(drop=True)
     if not len(sample):
-        return Model(), frozenset()
+        return Model()
     limits = [tuple(int(v) for v in x) for x in sample.limits]
     bodies, lengths = sample.body.tolist(), sample.n_chars.tolist()
-    # words that stand before another word or a stop are whole
-    seen: dict[str, int] = {}
-    for b in bodies:
-        for w in set(re.findall(r"\w+(?=\W+\w)|\w+(?=[.!?।,;:])", b[-3000:].lower())):
-            seen[w] = seen.get(w, 0) + 1
-    words = frozenset(w for w, n in seen.items() if n >= 3)
     at_limit = np.array([n in x for n, x in zip(lengths, limits)], dtype=bool)
     marked = np.array([any(b.rstrip().endswith(m) for m in MARKS if m != "...") for b in bodies], dtype=bool)
-    # which mark a source leaves at a limit
-    habits: dict[tuple[str, int], dict[str, int]] = {}
-    for s, n, b, a in zip(sample.src, lengths, bodies, at_limit):
-        if a:
-            m = next((m for m in MARKS if b.rstrip().endswith(m)), "")
-            own = habits.setdefault((s, n), {})
-            own[m] = own.get(m, 0) + 1
     whole = np.flatnonzero(~at_limit & ~marked)
     every = sorted({(s, x) for s, ls in zip(sample.src, limits) for x in ls})
     by_source: dict[str, dict[int, str]] = {}
     for s, x in every:
-        own = habits.get((s, x), {"": 1})
-        by_source.setdefault(s, {})[x] = max(own, key=own.get)
+        by_source.setdefault(s, {})[x] = marks.get((s, x), "")
     sources = list(by_source)
-    x = np.array([hashed(features(b, n, ls, words)) for b, n, ls in zip(bodies, lengths, limits)]).reshape(len(bodies), -1)
-    made: dict[int, np.ndarray] = {}
+    copies: dict[int, tuple[str, int, tuple[int, ...]]] = {}
     for i in whole:
         for _try in range(3):
             # half of the copies are cut as another source would cut them
             s = sample.src[i] if rng.random() < 0.5 or not sources else sources[int(rng.integers(len(sources)))]
             own = by_source.get(s, {})
             if copy := cuts(bodies[i], tuple(own), own, rng):
-                made[int(i)] = hashed(features(copy[0], copy[1], tuple(own), words))
+                copies[int(i)] = (*copy, tuple(own))
                 break
+    words = known({last_word(b) for b in bodies} | {last_word(c[0]) for c in copies.values()})
+    x = np.array([hashed(features(b, n, ls, last_word(b) in words)) for b, n, ls in zip(bodies, lengths, limits)]).reshape(len(bodies), -1)
+    made = {i: hashed(features(*c, last_word(c[0]) in words)) for i, c in copies.items()}
     model = Model()
     fold = rng.integers(0, 3, len(bodies))
     for last in [False] * rounds + [True]:
         pos = [int(i) for i in whole if int(i) in made]
         if not pos:
-            return model, words
+            return model
         if last:
             xs = np.concatenate([x[whole], np.array([made[i] for i in pos])])
             model.fit(xs, np.repeat([0.0, 1.0], [len(whole), len(pos)]))
@@ -227,7 +260,7 @@ def train(sample: pd.DataFrame, rounds: int = ROUNDS, seed: int = 11) -> tuple[M
                 judge.fit(np.concatenate([x[rest], np.array([made[i] for i in others])]), np.repeat([0.0, 1.0], [len(rest), len(others)]), epochs=8)
                 keep[own] = judge.score(x[whole[own]]) < 0.5
         whole = whole[keep] if keep.any() else whole
-    return model, words
+    return model
 
 
 def scored(df: DataFrame, row_id: str = "doc_id", source: str = "source", text: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -239,20 +272,40 @@ def scored(df: DataFrame, row_id: str = "doc_id", source: str = "source", text:
     """
     spark = df.sparkSession
     rows = prepared(df, row_id, source, text)
+    counts = cut(counted(rows))
+    words = counts.where("src is null").select("word")
     n = df.count()
+    # rows are drawn one by one; equal ids are told apart by their texts
+    draw = F.xxhash64("row_id", "src", "body")
     picked = rows
     if n > sample:
-        picked = rows.where(F.pmod(F.xxhash64("src", "body"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+        picked = rows.where(F.pmod(draw, F.lit(1 << 30)) < int((1 << 30) * sample / n))
     # the sampled texts' first part serves as a text to be cut; its end is kept in full form
-    picked = picked.withColumn("body", F.when(F.length("body") > 6000, F.right("body", F.lit(6000))).otherwise(F.col("body")))
-    learnt = picked.select("src", "n_chars", "body", "limits").orderBy("src", "n_chars", "body").limit(2 * sample).toPandas()
-    shared = spark.sparkContext.broadcast(train(learnt))
+    picked = picked.withColumn("draw", draw).withColumn("body", F.when(F.length("body") > 6000, F.right("body", F.lit(6000))).otherwise(F.col("body")))
+    learnt = picked.select("src", "n_chars", "body", "limits", "draw").orderBy("draw", "src", "n_chars", "body").limit(2 * sample).toPandas()
+
+    def known(some: set[str]) -> set[str]:
+        asked = spark.createDataFrame([(w,) for w in sorted(some)], "word string")
+        return {r.word for r in words.join(F.broadcast(asked), "word", "left_semi").collect()}
+
+    own = spark.createDataFrame([(s,) for s in sorted(set(learnt.src))], "src string")
+    # the commonest mark of each limit of the sampled sources; the least of equals
+    best = counts.join(F.broadcast(own), "src", "left_semi").groupBy("src", "n").agg(F.min(F.struct(-F.col("texts"), F.col("word").alias("mark"))).alias("m"))
+    marks = {(r.src, r.n): r.m.mark for r in best.collect()}
+    shared = spark.sparkContext.broadcast(train(learnt, marks, known))
+
+    @F.pandas_udf("string")
+    def ends(bodies: pd.Series) -> pd.Series:
+        return bodies.map(last_word)
+
+    listed = broadcast_if_small(cut(words.withColumn("known", F.lit(True))), 64)
+    rows = rows.withColumn("word", ends("body")).join(listed, "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, words = shared.value
+        model = shared.value
         for p in parts:
             if len(p):
-                x = np.array([hashed(features(b, n, tuple(ls), words)) for b, n, ls in zip(p.body, p.n_chars, p.limits)])
+                x = np.array([hashed(features(b, n, tuple(ls), k)) for b, n, ls, k in zip(p.body, p.n_chars, p.limits, p.known)])
                 yield pd.DataFrame({"row_id": p.row_id, "src": p.src, "p": model.score(x)})
 
     kind = df.schema[row_id].dataType.simpleString()

@@ -126,3 +126,12 @@ def test_truncation_of_nothing(spark):
     assert truncation.truncated(df).count() == 0
     few = spark.createDataFrame([(1, "One short caption", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert truncation.truncated(few).count() == 0
+
+
+def test_known_words_come_from_all_rows_and_whole_texts(spark):
+    rows, _ = documents()
+    rows += [(7000 + i, f"The qwtzabcd stands here. {'Potters mend nets near the river. ' * 120}", "wire") for i in range(3)]
+    rows += [(8001, "Potters carry nets near the river. Dancers mend the qwtzabcd", "desk"), (8002, "Potters carry nets near the river. Dancers mend the pfvzabcd", "desk")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    p = {r.doc_id: r.p for r in truncation.scored(df, sample=600).collect()}
+    assert p[8001] < p[8002]  # alike to the model but for the word
