@@ -1,8 +1,8 @@
 """Frequency of every distinct term, and marks for the too rare and the too common (problem 3).
 
 Each task encodes its rows against a dictionary of its block and accumulates two count arrays (occurrences, records). The
-blocks' arrays are shuffled by term; each shuffle partition owns one range of the global integer dictionary, numbers its
-terms in order and sums the blocks' counts into the arrays of that range. A term costs one row a block however often it
+blocks' rows (term, counts) are hash-partitioned by term; each partition sums them and numbers its terms in order, which
+makes the global ids, given only after the sums. A term costs one row a block however often it
 occurs, so a hot term is no hot key.
 """
 
