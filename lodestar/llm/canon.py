@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.session import cut
+
 #: Names and aliases that one broadcast trie may hold; a longer list is searched in blocks of this size.
 BLOCK_ENTRIES = 200_000
 #: Words in a run, and runs whose hits a task remembers.
@@ -203,12 +205,15 @@ def map_values(values: DataFrame, names: DataFrame, regions: DataFrame, unmatche
 
     names (name, key) holds the reference entries and their aliases, regions (key, region) the region entry in which an
     entry lies. Null and blank values are left out, values that name no entry come out as `unmatched`, repeated rows come
-    out as often as they come in. A list of more than BLOCK_ENTRIES names is searched block by block.
+    out as often as they come in. A list of more than BLOCK_ENTRIES names is searched block by block; the blocks' hits on a
+    row, with the region of each, are merged before one is chosen.
     """
     spark = values.sparkSession
     names = names.where("name is not null and key is not null").select("name", "key").distinct()
     n_blocks = -(-max(names.count(), 1) // BLOCK_ENTRIES)
     values = values.select("record_kind", "record_id", "value").where(r"value is not null and value rlike '(?U)\\S'")
+    # rows are told apart by a number that is written down, as their ids may repeat
+    values = values if n_blocks == 1 else cut(values.withColumn("row", F.monotonically_increasing_id()))
     found = []
     for block in range(n_blocks):
         own = names if n_blocks == 1 else names.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == block)
@@ -222,19 +227,30 @@ def map_values(values: DataFrame, names: DataFrame, regions: DataFrame, unmatche
             matcher = Matcher(entries)
             for p in parts:
                 hits = matcher.hits(p.value.tolist())
-                best = [min(h)[:2] if h else (99, 99) for h in hits]
-                yield pd.DataFrame(
-                    {"record_kind": p.record_kind, "record_id": p.record_id, "key": [choose(h, region_of) for h in hits],
-                     "d": [b[0] for b in best], "typed": [b[1] for b in best]}
-                )
-
-        found.append(values.mapInPandas(run, "record_kind string, record_id long, key string, d int, typed int"))
-    if n_blocks == 1:
-        out = found[0]
-    else:
-        out = found[0]
+                yield pd.DataFrame({"record_kind": p.record_kind, "record_id": p.record_id, "key": [choose(h, region_of) for h in hits]})
+
+        def hits_of(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            entries, region_of = shared.value
+            matcher = Matcher(entries)
+            for p in parts:
+                hits = [(row, *h, region_of.get(h[4])) for row, own in zip(p.row, matcher.hits(p.value.tolist())) for h in own]
+                yield pd.DataFrame(hits, columns=["row", "d", "typed", "start", "stop", "key", "region"])
+
+        if n_blocks == 1:
+            out = values.mapInPandas(run, "record_kind string, record_id long, key string")
+        else:
+            found.append(values.select("row", "value").mapInPandas(hits_of, "row long, d int, typed int, start int, stop int, key string, region string"))
+    if n_blocks > 1:
+        every = found[0]
         for more in found[1:]:
-            out = out.unionByName(more)
-        least = F.min_by(F.struct("key"), F.struct("d", "typed", "key")).alias("k")
-        out = out.groupBy("record_kind", "record_id").agg(least).select("record_kind", "record_id", "k.key")
+            every = every.unionByName(more)
+        fields = ("d", "typed", "start", "stop", "key", "region")
+        merged = every.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("h")).select("row", *[F.col(f"h.{x}").alias(x) for x in fields])
+
+        def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                chosen = [choose(list(zip(*h)), {k: r for k, r in zip(h[4], g) if r is not None}) for *h, g in zip(*[p[x] for x in fields])]
+                yield pd.DataFrame({"row": p.row, "key": chosen})
+
+        out = values.join(merged.mapInPandas(best, "row long, key string"), "row", "left")
     return out.select("record_kind", "record_id", F.coalesce("key", F.lit(unmatched)).alias("key"))

@@ -113,3 +113,16 @@ def test_hot_value_is_one_key_only(spark):
     names = spark.createDataFrame(ENTRIES, "name string, key string")
     got = canon.map_values(values, names, spark.createDataFrame([], "key string, region string")).groupBy("key").count().collect()
     assert [tuple(r) for r in got] == [("tushagiri", 3000)]
+
+
+def test_blocks_keep_cities_tie_breaks_and_repeated_rows(spark, monkeypatch):
+    texts = [*CASES, *CASES]
+    values = spark.createDataFrame([("k", i % len(CASES), t) for i, t in enumerate(texts)], "record_kind string, record_id long, value string")
+    names = spark.createDataFrame(ENTRIES, "name string, key string")
+    regions = spark.createDataFrame([("gurumnawadi", "rudimbaganj")], "key string, region string")
+    count = lambda: Counter((r.record_id, r.key) for r in canon.map_values(values, names, regions).collect())
+    whole = count()
+    assert sum(whole.values()) == 2 * sum(bool(t and t.strip()) for t in CASES)
+    for size in (1, 2, 3):
+        monkeypatch.setattr(canon, "BLOCK_ENTRIES", size)
+        assert count() == whole
