@@ -29,14 +29,14 @@ from lodestar.llm.wordhash import U, Words, joined, mix, slices
 from lodestar.session import broadcast_if_small, cut
 
 FUNCTIONS, BUCKETS = 6, 64
-#: Class ids inside candidate generation; a clash only adds a candidate, which the verification refuses.
-CLASS_BITS = 40
 #: Entries that one part of a band should hold, and classes under one key beyond which its pairs are made in blocks.
 PART_ROWS, HOT = 2_000_000, 512
 _SALT = mix(np.arange(1, FUNCTIONS + 3, dtype=U))
 _rng = np.random.default_rng(20240101)
 _PROBES = _rng.integers(0, BUCKETS, size=(256, FUNCTIONS, BUCKETS))
-_ENTRY = np.dtype([("key", "<u4"), ("lo", "<u4"), ("hi", "u1")])
+#: A key of a band and the first 64 bits of a class id. Two classes that clash in these stand for one another, which adds
+#: candidates that the verification refuses; they are not candidates of each other.
+_ENTRY = np.dtype([("key", "<u4"), ("cls", "<u8")])
 
 
 def registers(keys: np.ndarray, n_docs: int, functions: range = range(FUNCTIONS)) -> np.ndarray:
@@ -152,6 +152,18 @@ def profiles(texts: DataFrame, min_words: int, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "row_id long, c1 long, c2 long, n int, sketch binary")
 
 
+def _unsent(ids: np.ndarray, sent: np.ndarray) -> np.ndarray:
+    """Rows of ids (two halves of the full class id) that come first with their id and are not in sent, which is sorted by
+    the first half. Of several sent with one first half only one is looked at: the others are sent again, never left out."""
+    order = np.lexsort((ids[:, 1], ids[:, 0]))
+    own = ids[order]
+    first = np.sort(order[np.concatenate([[True], (own[1:] != own[:-1]).any(axis=1)])])
+    if not len(sent):
+        return first
+    at = np.minimum(np.searchsorted(sent[:, 0], ids[first, 0]), len(sent) - 1)
+    return first[(sent[at] != ids[first]).any(axis=1)]
+
+
 def band_entries(texts: DataFrame, min_words: int, shingle: int, split: int) -> DataFrame:
     """(part, entries): packed (key, class) entries of every band, part = band * split + a piece of the key space.
 
@@ -159,7 +171,7 @@ def band_entries(texts: DataFrame, min_words: int, shingle: int, split: int) ->
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = np.empty(0, dtype=U)
+        sent = np.empty((0, 2), dtype=U)  # by the first half
         for b in parts:
             words = joined(b.column(1), b.column(2))
             held: list[list[np.ndarray]] = [[] for _ in range(BUCKETS * split)]
@@ -167,22 +179,22 @@ def band_entries(texts: DataFrame, min_words: int, shingle: int, split: int) ->
                 t = _Texts(words[lo:hi], min_words, shingle)
                 if not t.n:
                     continue
-                short = t.class_ids()[0] & U((1 << CLASS_BITS) - 1)
-                _, first = np.unique(short, return_index=True)
-                first = np.sort(first[~np.isin(short[first], sent)])
+                ids = np.stack(t.class_ids(), axis=1)
+                first = _unsent(ids, sent)
                 if not len(first):
                     continue
                 if len(sent) > 1_000_000:
                     sent = sent[:0]
-                sent = np.concatenate([sent, short[first]])
+                sent = np.concatenate([sent, ids[first]])
+                sent = sent[np.argsort(sent[:, 0], kind="stable")]
                 regs = densify(registers(t.keys, t.n)[first]).astype(U)
-                cls = short[first]
+                cls = ids[first, 0]
                 for band in range(BUCKETS):
                     k = np.full(len(first), U(band + 1))
                     for f in range(FUNCTIONS):
                         k = mix(k + regs[:, f, band])
                     e = np.empty(len(first), dtype=_ENTRY)
-                    e["key"], e["lo"], e["hi"] = (k >> U(32)), cls & U(0xFFFFFFFF), cls >> U(32)
+                    e["key"], e["cls"] = (k >> U(32)), cls
                     piece = ((k & U(0xFFFFFFFF)) % U(split)).astype(np.int64)
                     if split == 1:
                         held[band].append(e)
@@ -214,7 +226,7 @@ def _all_pairs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _band_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     """Pairs (a, b) of classes under one key of a part; of a hot key, pairs of blocks as packed arrays."""
     e = np.frombuffer(b"".join(rows.entries), dtype=_ENTRY)
-    key, cls = e["key"].astype(U), e["lo"].astype(U) | (e["hi"].astype(U) << U(32))
+    key, cls = e["key"].astype(U), e["cls"].astype(U)
     order = np.lexsort((cls, key))
     key, cls = key[order], cls[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]) if len(key) else np.empty(0, dtype=bool)
@@ -253,7 +265,7 @@ def _expand(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidates(texts: DataFrame, min_words: int, shingle: int, n_rows: int) -> DataFrame:
-    """Distinct pairs (a < b) of short class ids that share a band."""
+    """Distinct pairs (a < b) of first halves of class ids (as unsigned numbers) that share a band."""
     split = max(1, math.ceil(n_rows / PART_ROWS))
     made = band_entries(texts, min_words, shingle, split).groupBy("part").applyInPandas(
         _band_pairs, "a long, b long, block_a binary, block_b binary"
@@ -306,10 +318,9 @@ def class_pairs(df: DataFrame, row_id: str, title: str, description: str, thresh
     texts = df.select(F.col(row_id).alias("row_id"), F.col(title).alias("title"), F.col(description).alias("description")).where("row_id is not null")
     rows = cut(profiles(texts, min_words, shingle))
     classes = rows.groupBy("c1", "c2").agg(F.min("row_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = classes.withColumn("short", F.col("c1").bitwiseAND((1 << CLASS_BITS) - 1))
 
     def side(x: str) -> DataFrame:
-        return classes.select(F.col("short").alias(x), *[F.col(f"c{i}").alias(f"{x}{i}") for i in (1, 2)], F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        return classes.select(F.col("c1").alias(x), *[F.col(f"c{i}").alias(f"{x}{i}") for i in (1, 2)], F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
     near = candidates(texts, min_words, shingle, rows.count()).join(side("a"), "a").join(side("b"), "b")
     sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")

@@ -80,3 +80,32 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + k] == 100 for k in range(40)) and got[300] == 200
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_a_clash_of_class_ids_leaves_no_class_out():
+    one, two = np.uint64(5), np.uint64(9)
+    none = np.empty((0, 2), dtype=np.uint64)
+    ids = np.array([[one, 1], [two, 1], [one, 2], [one, 1], [one | np.uint64(1 << 40), 1]], dtype=np.uint64)
+    assert neardup._unsent(ids, none).tolist() == [0, 1, 2, 4]
+    assert neardup._unsent(ids, ids[:1]).tolist() == [1, 2, 4]
+
+
+def test_classes_that_clash_in_forty_bits_all_enter_bands(spark, monkeypatch):
+    rows = corpus(5, 12)
+    real = neardup._Texts.class_ids
+    # every class has the same lower 40 bits
+    monkeypatch.setattr(neardup._Texts, "class_ids", lambda self: ((real(self)[0] << np.uint64(40)), real(self)[1]))
+    texts = [(i, t, d) for i, t, d, _ in rows]
+    ids = set()
+    import pyarrow as pa
+
+    class Frame:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            columns = [pa.array(list(c)) for c in zip(*texts)]
+            return list(run(iter([pa.RecordBatch.from_arrays(columns, names=["row_id", "title", "description"])])))
+
+    for b in neardup.band_entries(Frame(), 20, 3, 1):
+        for e in b.column(1).to_pylist():
+            e = np.frombuffer(e, dtype=neardup._ENTRY)
+            ids |= set(zip(*[e[n].tolist() for n in e.dtype.names if n != "key"]))
+    assert len(ids) == len({frozenset(shingles(t, d)) for _, t, d in texts if shingles(t, d)})
