@@ -1,11 +1,13 @@
 """Items packed into containers of a fixed capacity (problem 8).
 
 Only the histogram of sizes, at most `capacity` numbers, comes to the driver. There the configuration linear program (how
-often to use each way of filling a container) is solved approximately by multiplicative weights: sizes that are covered
-too little gain weight, and a bounded-knapsack dynamic program finds the fill of the greatest weight. The solution is
-rounded, and what the rounding leaves is packed by best fit, largest first. The plan is a table of runs by size, and
-every item finds its container from its rank among the items of its size, which is computed with salts, so that a size
-held by a third of all items is spread over many tasks.
+often to use each way of filling a container) is solved approximately by multiplicative weights: sizes that a knapsack
+dynamic program's fills cover too often lose weight, the others gain, and the weights of the greatest lower bound are the
+prices of the program. The rounding takes one fill after the other at these prices, each for a whole number of
+containers, and prices the next one on what is left; weights of the same kind keep the sizes in step. The last items,
+one part in a hundred, are packed by best fit. The plan is a table of runs by size, and every item finds its container
+from its rank among the items of its size, which is computed with salts, so that a size held by a third of all items is
+spread over many tasks.
 """
 
 from __future__ import annotations
@@ -19,8 +21,12 @@ from pyspark.sql import functions as F
 
 from lodestar.session import broadcast_if_small, cut
 
-#: Rounds of the multiplicative weights, their step, and items of one size in a salt's task.
-ROUNDS, STEP, SALT_ROWS = 150, 8.0, 500_000
+#: Rounds that price the program, fills that the rounding should need, and items of one size in a salt's task.
+ROUNDS, FILLS, SALT_ROWS = 48, 500, 500_000
+#: What a unit of room counts beside being in step, how much more a large size counts, and the step of the weights.
+ROOM, LARGE, STEP = 100.0, 1000.0, 4.0
+#: Dearest sizes, which a round prices before all of them, and the part of the room that best fit packs at the end.
+PRICED, REST = 64, 0.01
 
 
 def _split(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -92,40 +98,71 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[n
     return [(fills[k][0], n) for k, n in sorted(groups.items()) if n]
 
 
-def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """(copies of each size, how many containers) for all items; sizes rise, 1 to capacity.
+def _classes(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Sizes of about one part of the capacity (six classes an octave), numbered from 0: the weights are kept by class, so
+    that they mean something where most sizes stand for one item."""
+    return np.unique(np.floor(6 * np.log2(capacity / sizes)).astype(np.int64), return_inverse=True)[1]
+
+
+def prices(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
+    """(least number of containers, price of an item of each size) by multiplicative weights on the configuration program.
 
-    A size's weight is its share of a container times exp(-STEP * how far it is covered ahead of time). The fractions of
-    the fills are rounded by their running sum, as far as the items go; the rest is packed by best fit, largest first.
+    Any prices prove that at least their sum over all items / the worth of the best fill containers are needed. Room as
+    the price is the start; each round the classes that the best fill holds too much of lose weight. The greatest bound
+    wins; room stays the price unless another is a thousandth better.
     """
-    sizes, left = np.asarray(sizes, dtype=np.int64), np.asarray(counts, dtype=np.int64).copy()
+    of = _classes(sizes, capacity)
+    volume = np.bincount(of, (sizes * counts).astype(float))
+    least = volume.sum() / capacity
+    bound, best = least * (1 + 1e-3), sizes / capacity
+    log_weight = np.zeros(len(volume))
+    for _ in range(rounds):
+        price = sizes / capacity * np.exp(log_weight)[of]
+        fill = knapsack(sizes, counts, price, capacity)
+        worth = float(price @ fill)
+        if price @ counts > bound * worth:
+            bound, best, least = float(price @ counts) / worth, price / worth, float(price @ counts) / worth
+        log_weight -= 6.0 / rounds * (np.bincount(of, (fill * sizes).astype(float), minlength=len(volume)) * least / volume - 1)
+        log_weight = np.clip(log_weight - log_weight.mean(), -6, 6)
+    return max(1.0, least), best
+
+
+def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+    """(copies of each size, how many containers) for all items; sizes rise, 1 to capacity."""
+    sizes, counts = np.asarray(sizes, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     if not len(sizes):
         return []
-    least = max(1.0, float((sizes * left).sum()) / capacity)  # no packing needs fewer containers
-    fills: dict[bytes, float] = {}
-    covered, demand = np.zeros(len(sizes)), left.astype(float)
-    for k in range(rounds):
-        weight = sizes / capacity * np.exp(-STEP * np.clip(covered - k / rounds, -1, 1))
-        fill = knapsack(sizes, left, weight, capacity)
-        covered += fill * least / rounds / demand
-        key = fill.tobytes()
-        fills[key] = fills.get(key, 0.0) + least / rounds
-    out, owed = [], 0.0
-    for key, x in sorted(fills.items(), key=lambda kv: (-kv[1], kv[0])):
-        fill = np.frombuffer(key, dtype=np.int64)
-        owed += x
-        # the small sizes are worth more where they close a gap than in a fill that leaves one
-        if (fill * sizes).sum() < capacity - max(1, capacity // 200):
-            continue
-        n = min(int(owed), int((left[fill > 0] // fill[fill > 0]).min()))
-        if n > 0:
-            out.append((fill, n))
-            left = left - fill * n
-            owed -= n
-    out += best_fit(sizes, left, capacity)
-    # on a few awkward items rounding can cost more than the program gains
-    plain = best_fit(sizes, np.asarray(counts, dtype=np.int64), capacity)
-    return min(out, plain, key=lambda p: sum(n for _, n in p))
+    out, left = programmed(sizes, counts, capacity, rounds)
+    return out + best_fit(sizes, left, capacity)
+
+
+def programmed(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """(fills with their numbers of containers, what is left of each size): the program rounded fill by fill.
+
+    A size is worth its price in the program, a little more if its class is behind the share of containers that are full,
+    and a large size more than small ones of the same room, as those close gaps later. A fill is used a part of FILLS times
+    or as often as its items last. The work follows the number of sizes, not that of the items.
+    """
+    least, price = prices(sizes, counts, capacity, rounds)
+    of = _classes(sizes, capacity)
+    volume = np.bincount(of, (sizes * counts).astype(float))
+    most, share = max(1.0, least / FILLS), sizes / capacity
+    out, used, left = [], 0, counts.copy()
+    while (left * sizes).sum() > REST * volume.sum():
+        behind = used / least - 1 + np.bincount(of, (left * sizes).astype(float), minlength=len(volume)) / volume
+        worth = ROOM * price + share * (np.exp(STEP * np.clip(behind, -2, 2))[of] + LARGE * share)
+        rest = np.flatnonzero(left)
+        fill = np.zeros_like(left)
+        for own in (rest[np.sort(np.lexsort((-left[rest] / counts[rest], -worth[rest] / sizes[rest]))[:PRICED])], rest):
+            fill[:] = 0
+            fill[own] = knapsack(sizes[own], left[own], worth[own], capacity)
+            if len(own) == len(rest) or fill @ sizes == capacity:
+                break  # no other fill leaves less room
+        n = int(min(most, (left[fill > 0] // fill[fill > 0]).min()))
+        out.append((fill, n))
+        left = left - fill * n
+        used += n
+    return out, left
 
 
 def pack(items: DataFrame, item_id: str, size: str, capacity: int, rounds: int = ROUNDS) -> DataFrame:
@@ -146,12 +183,14 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, rounds: int =
     fills = plan(sizes, counts, capacity, rounds)
     runs, base, used = [], 0, np.zeros(len(sizes), dtype=np.int64)
     for fill, n in fills:
-        for i in np.flatnonzero(fill):
-            runs.append((int(sizes[i]), int(used[i]), base, int(fill[i])))
-            used[i] += fill[i] * n
+        on = np.flatnonzero(fill)
+        runs.append(np.stack([on, used[on], np.full(len(on), base), fill[on]], axis=1))
+        used[on] += fill[on] * n
         base += n
-    runs = sorted(runs)
-    table = {s: tuple(np.array(x, dtype=np.int64) for x in zip(*[r[1:] for r in runs if r[0] == s])) for s in {r[0] for r in runs}}
+    every = np.concatenate(runs) if runs else np.empty((0, 4), dtype=np.int64)
+    every = every[np.lexsort((every[:, 1], every[:, 0]))]
+    ends = np.searchsorted(every[:, 0], np.arange(len(sizes) + 1))
+    table = {int(s): tuple(every[lo:hi, 1:].T) for s, lo, hi in zip(sizes, ends[:-1], ends[1:])}
     shared = items.sparkSession.sparkContext.broadcast(table)
 
     salts = items.sparkSession.createDataFrame([(int(s), int(-(-c // SALT_ROWS))) for s, c in zip(sizes, counts)], "size long, salts int")

@@ -56,6 +56,25 @@ def test_packing_is_whole_and_tight(spark, seed, monkeypatch):
     assert n <= np.ceil(sizes.sum() / 200) * 1.02 + 1
 
 
+@pytest.mark.parametrize("times", [1, 10, 100, 10_000])
+def test_the_program_packs_and_needs_no_more_than_best_fit(times):
+    drawn = np.clip(np.random.default_rng(3).lognormal(3.2, 1.0, 3000), 1, 256).astype(np.int64)
+    sizes, counts = np.unique(drawn, return_counts=True)
+    counts = counts * times
+    fills, left = packing.programmed(sizes, counts, 256)
+    whole = fills + packing.best_fit(sizes, left, 256)
+    assert (sum(f * n for f, n in whole) == counts).all() and all(f @ sizes <= 256 for f, _ in whole)
+    n = sum(n for _, n in whole)
+    assert sum(n for _, n in fills) >= 0.95 * n and n <= sum(n for _, n in packing.best_fit(sizes, counts, 256))
+
+
+def test_prices_prove_a_bound_where_room_proves_less():
+    sizes, counts = np.array([400, 700, 1100]), np.array([100, 300, 200])
+    least, price = packing.prices(sizes, counts, 2048)
+    best = max(packing.knapsack(sizes, counts, price, 2048) @ price, 1e-9)
+    assert (sizes * counts).sum() / 2048 < 240 < price @ counts / best <= 260 and np.isclose(least, price @ counts / best)
+
+
 def test_packing_of_little(spark):
     schema = "doc_id long, n_tokens long"
     assert packing.pack(spark.createDataFrame([], schema), "doc_id", "n_tokens", 10).count() == 0
