@@ -32,9 +32,9 @@ def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences, records and mark of every term."""
+    """Id, occurrences, records and mark of every term."""
     items = table(spark, sf_dir, "youtube_items")
-    return terms.mark_terms(terms.term_counts(items), items.count()).select("term", "occurrences", "records", "mark")
+    return terms.mark_terms(terms.term_counts(items), items.count()).select("term", "term_id", "occurrences", "records", "mark")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,5 +120,5 @@ kept AS (SELECT i.log_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS d FR
 SELECT i.log_id, CASE WHEN i.description IS NULL THEN NULL ELSE coalesce(kept.d, '') END AS description
 FROM youtube_items i LEFT JOIN kept ON kept.log_id = i.log_id""",
     "p3_found": f"WITH {_TERMS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
-    "p3_terms": f"WITH {_TERMS} SELECT term, occurrences, records, mark FROM m",
+    "p3_terms": f"WITH {_TERMS} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, occurrences, records, mark FROM m",
 }

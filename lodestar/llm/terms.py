@@ -1,27 +1,32 @@
 """Frequency of every distinct term, and marks for the too rare and the too common (problem 3).
 
-Each task encodes its rows against a dictionary of its block and accumulates two count arrays (occurrences, records). The
-blocks' rows (term, counts) are hash-partitioned by term; each partition sums them and numbers its terms in order, which
-makes the global ids, given only after the sums. A term costs one row a block however often it
-occurs, so a hot term is no hot key.
+1. Blocks: each task counts its rows against a dictionary of its block, so a term leaves it as one row a block however
+   often it occurs, and a hot term is no hot key.
+2. Dictionary: the distinct terms of all blocks are sorted by ranges and numbered, which gives every term a dense id.
+3. Encoding: the blocks' terms are replaced by their ids, through the broadcast dictionary if its counted size allows it,
+   else by a shuffled join.
+4. Sums: ids are gathered into count arrays of occurrences and records by ranges of RANGE ids, the arrays are shuffled by
+   range and added up; a task holds MOST_RANGES ranges at most, so its memory does not grow with the dictionary.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.wordhash import Words, joined, slices
+from lodestar.operators.archive import numbered
+from lodestar.session import broadcast_if_small, cut
 
 #: Distinct terms after which a block is closed: bounds a task's memory, not the counts.
 BLOCK_TERMS = 400_000
-#: Bits of a term id that number the terms of one range.
-RANGE_BITS = 40
+#: Ids in a range, whose counts are one array, and ranges that a task holds.
+RANGE, MOST_RANGES = 4096, 256
 
 
 class Block:
@@ -52,21 +57,33 @@ class Block:
         np.add.at(self.occurrences, at, occurrences)
         np.add.at(self.records, at, records)
 
-    def batches(self, with_ids: bool = False) -> Iterator[pa.RecordBatch]:
-        n = len(self.terms)
-        if with_ids:
-            base = TaskContext.get().partitionId() << RANGE_BITS
-            order = np.argsort(np.array(self.terms, dtype=object)) if n else np.empty(0, dtype=np.int64)
-        else:
-            order = np.arange(n)
-        for at in range(0, n, 50_000):
-            part = order[at : at + 50_000]
-            cols = [pa.array([self.terms[i] for i in part], pa.string()), pa.array(self.occurrences[part]), pa.array(self.records[part])]
-            names = ["term", "occurrences", "records"]
-            if with_ids:
-                cols.insert(1, pa.array(base + np.arange(at, at + len(part))))
-                names.insert(1, "term_id")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.terms), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(self.terms[part], pa.string()), pa.array(self.occurrences[: len(self.terms)][part]), pa.array(self.records[: len(self.terms)][part])],
+                names=["term", "occurrences", "records"],
+            )
+
+
+class Ranges:
+    """Count arrays by range of ids: row 0 occurrences, row 1 records."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, np.ndarray] = {}
+
+    def add(self, number: int, at: np.ndarray, occurrences: np.ndarray, records: np.ndarray) -> None:
+        own = self.held.get(number)
+        if own is None:
+            own = self.held[number] = np.zeros((2, RANGE), dtype=np.int64)
+        np.add.at(own[0], at, occurrences)
+        np.add.at(own[1], at, records)
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(range, places that have a count, their counts)."""
+        for number, own in self.held.items():
+            at = np.flatnonzero(own[0])
+            yield number, at, own[:, at]
 
 
 def _count_slice(texts: list[str], min_len: int) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -82,13 +99,8 @@ def _count_slice(texts: list[str], min_len: int) -> tuple[list[str], np.ndarray,
     return [w.text(keep[i]) for i in first], occurrences, records
 
 
-def term_counts(df: DataFrame, title: str = "title", description: str = "description", min_len: int = 2) -> DataFrame:
-    """(term, term_id, occurrences, records) of every term of at least min_len characters.
-
-    Null texts count as empty; repeated rows count each time; an empty table gives no rows; other columns are ignored.
-    Texts of any length are read whole. term_id is unique: the range's number in the high bits, the place of the term
-    among the sorted terms of its range below.
-    """
+def block_counts(df: DataFrame, title: str, description: str, min_len: int) -> DataFrame:
+    """(term, occurrences, records) of every block of rows; a term may come from several blocks."""
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
@@ -101,15 +113,63 @@ def term_counts(df: DataFrame, title: str = "title", description: str = "descrip
                     block = Block()
         yield from block.batches()
 
-    def ranges(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block()
+    texts = df.select(F.col(title).alias("title"), F.col(description).alias("description"))
+    return texts.mapInArrow(blocks, "term string, occurrences long, records long")
+
+
+def summed(encoded: DataFrame, n_terms: int) -> DataFrame:
+    """(term_id, occurrences, records) summed over encoded rows of these columns with ids from 0 to n_terms - 1."""
+
+    def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = Ranges()
+
+        def flush() -> pa.RecordBatch:
+            rows = list(arrays)
+            arrays.held.clear()
+            cols = [pa.array([n for n, _, _ in rows], pa.int64()), pa.array([at.astype("<u2").tobytes() for _, at, _ in rows], pa.binary())]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([c.tobytes() for _, _, c in rows], pa.binary())], names=["range", "at", "counts"])
+
         for b in parts:
-            block.add(b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy())
-        yield from block.batches(with_ids=True)
+            ids, occurrences, records = (b.column(k).to_numpy() for k in range(3))
+            number = ids // RANGE
+            order = np.argsort(number, kind="stable")
+            starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+            for lo, hi in zip(starts, np.append(starts[1:], len(order))):
+                own = order[lo:hi]
+                arrays.add(int(number[own[0]]), ids[own] % RANGE, occurrences[own], records[own])
+                if len(arrays.held) >= MOST_RANGES:
+                    yield flush()
+        if arrays.held:
+            yield flush()
+
+    def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = Ranges()
+        for b in parts:
+            for number, at, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                arrays.add(number, np.frombuffer(at, dtype="<u2"), *np.frombuffer(counts, dtype=np.int64).reshape(2, -1))
+        for number, at, counts in arrays:
+            cols = [pa.array(number * RANGE + at), pa.array(counts[0]), pa.array(counts[1])]
+            yield pa.RecordBatch.from_arrays(cols, names=["term_id", "occurrences", "records"])
 
-    texts = df.select(F.col(title).alias("title"), F.col(description).alias("description"))
-    partial = texts.mapInArrow(blocks, "term string, occurrences long, records long")
-    return partial.repartition("term").mapInArrow(ranges, "term string, term_id long, occurrences long, records long")
+    n_ranges = max(1, math.ceil(n_terms / RANGE))
+    # an explicit number of partitions is not coalesced, so ranges a task stay bounded
+    parts = min(n_ranges, max(encoded.sparkSession.sparkContext.defaultParallelism, math.ceil(n_ranges / MOST_RANGES)))
+    arrays = encoded.mapInArrow(gathered, "range long, at binary, counts binary")
+    return arrays.repartition(parts, "range").mapInArrow(added, "term_id long, occurrences long, records long")
+
+
+def term_counts(df: DataFrame, title: str = "title", description: str = "description", min_len: int = 2) -> DataFrame:
+    """(term, term_id, occurrences, records) of every term of at least min_len characters.
+
+    Null texts count as empty; repeated rows count each time; an empty table gives no rows; other columns are ignored.
+    Texts of any length are read whole. term_id is the place of the term among all sorted terms, from 0.
+    """
+    blocks = cut(block_counts(df, title, description, min_len))
+    dictionary = numbered(blocks.select("term").distinct(), [F.col("term")]).select("term", (F.col("pos") - 1).alias("term_id"))
+    n_terms = dictionary.count()
+    dictionary = broadcast_if_small(dictionary, 64)
+    encoded = blocks.join(dictionary, "term").select("term_id", "occurrences", "records")
+    return summed(encoded, n_terms).join(dictionary, "term_id").select("term", "term_id", "occurrences", "records")
 
 
 def mark_terms(counts: DataFrame, n_rows: int, min_occurrences: int = 5, min_records: int = 3, max_share: float = 0.15) -> DataFrame:
