@@ -1,6 +1,6 @@
 """Freely typed values mapped to the entries of a reference list (problem 6).
 
-The list's names and its aliases form one trie. Runs of one to three words of a value, written together, walk it as
+The list's names and its aliases form one trie. Runs of words of a value, as many as the longest name has, walk it as
 Levenshtein automata (adjacent transpositions count one): a node keeps, for all runs of a batch at once, the row of edit
 distances, and drops the runs whose least distance is over the limit. Every entry within the distance that its length
 allows is a hit; the nearest decides, a region giving way to a named entry inside it.
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +22,15 @@ from lodestar.session import cut
 
 #: Names and aliases that one broadcast trie may hold; a longer list is searched in blocks of this size.
 BLOCK_ENTRIES = 200_000
-#: Words in a run, and runs whose hits a task remembers.
+#: Words in a run at least (a name's word may be typed in parts; a run has one word more than the longest name), and runs
+#: whose hits a task remembers.
 RUN_WORDS, MEMO = 3, 400_000
 #: Spellings of one sound or look-alike signs, applied in this order to names and values (fixed values).
 FOLDS = (("0", "o"), ("1", "l"), ("w", "v"), ("q", "k"))
 _LONG = re.compile(r"a{2,}|e{2,}|o{2,}")
 _LONG_AS = {"a": "a", "e": "i", "o": "u"}
-_WORD = re.compile(r"[a-z0-9]+")
+#: Words are runs of Latin letters and digits, or of those of other scripts with their marks.
+_WORD = regex.compile(r"[a-z0-9]+|(?:(?![a-z0-9])[\p{L}\p{N}\p{M}])+")
 
 
 def plain(text: str) -> str:
@@ -143,11 +146,12 @@ class Matcher:
         self.n_words = [len(_WORD.findall(name)) for name, _ in self.trie.entries]
         self.longest = max(map(len, self.squashed), default=0) + 2
         self.shortest = min((len(fold(s)) for s in self.squashed if s), default=0)
+        self.most_words = max(RUN_WORDS, 1 + max(self.n_words, default=0))
         self.memo: dict[tuple[str, bool], list[tuple[int, int, int, str]]] = {}
 
     def runs(self, words: list[str]) -> list[tuple[int, int, str]]:
         out = []
-        for n in range(1, RUN_WORDS + 1):
+        for n in range(1, self.most_words + 1):
             for i in range(len(words) - n + 1):
                 run = "".join(words[i : i + n])
                 if self.shortest - 2 <= len(run) <= 2 * self.longest:

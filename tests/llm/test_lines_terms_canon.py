@@ -126,3 +126,11 @@ def test_blocks_keep_cities_tie_breaks_and_repeated_rows(spark, monkeypatch):
     for size in (1, 2, 3):
         monkeypatch.setattr(canon, "BLOCK_ENTRIES", size)
         assert count() == whole
+
+
+def test_long_names_and_other_scripts_are_found(spark):
+    cases = {"Trams at Old Fort Road Junction": "junction", "trams, OldFort Road Juncton": "junction", "Market in पटना": "patna", "पटनाmarket": "patna", "पटन market": "unmatched", "Old Fort": "unmatched", "At Saint-Étienne du Bois le Petit": "bois"}
+    names = [("Old Fort Road Junction", "junction"), ("पटना", "patna"), ("Saint Etienne du Bois le Petit", "bois")]
+    values = spark.createDataFrame([("k", i, t) for i, t in enumerate(cases)], "record_kind string, record_id long, value string")
+    got = canon.map_values(values, spark.createDataFrame(names, "name string, key string"), spark.createDataFrame([], "key string, region string")).collect()
+    assert {r.record_id: r.key for r in got} == dict(enumerate(cases.values()))
