@@ -44,6 +44,11 @@ def test_repeated_lines_match_brute_force(spark):
         assert clean[i] == (None if d is None else "\n".join(x for n, x in enumerate(d.split("\n"), 1) if (i, n) not in want))
 
 
+def test_many_frequent_lines_are_joined_under_salts(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", 0)
+    test_repeated_lines_match_brute_force(spark)
+
+
 def test_lines_of_no_rows(spark):
     assert lines.removable(spark.createDataFrame([], ROWS), "log_id", "channel_title", "description").count() == 0
 
