@@ -16,8 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.wordhash import _BASE, _BASE_INV, U, _power, mix
@@ -39,6 +39,8 @@ class Encoder:
     """A rank file with its table of certain cuts and a memory of fragments."""
 
     def __init__(self, path: str):
+        import tiktoken
+
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -74,7 +76,8 @@ class Encoder:
         sums = np.concatenate([[U(0)], np.cumsum((data.astype(U) + U(1)) * _power(_BASE, "b", len(data)), dtype=U)])
         h = mix((sums[hi] - sums[lo]) * _power(_BASE_INV, "i", len(data))[lo] + (hi - lo).astype(U))
         _, first, code = np.unique(h, return_index=True, return_inverse=True)
-        self._check(data, lo, hi, first, code)
+        if not self._alike(data, lo, hi, first, code):  # two fragments share a hash: each is one of its own
+            first = code = np.arange(len(lo))
         raw = data.tobytes()
         ids = [self.fragment(raw[lo[i] : hi[i]]) for i in first]
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
@@ -86,16 +89,14 @@ class Encoder:
         return flat, np.bincount(doc, weights=per, minlength=n).astype(np.int64)
 
     @staticmethod
-    def _check(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, code: np.ndarray) -> None:
-        """Fragments of one hash must be the same bytes."""
+    def _alike(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, code: np.ndarray) -> bool:
+        """Whether fragments of one hash are the same bytes."""
         size = hi - lo
-        same = np.array_equal(size, size[first][code])
-        if same:
-            ends = np.cumsum(size)
-            step = np.arange(ends[-1]) - np.repeat(ends - size, size)
-            same = np.array_equal(data[np.repeat(lo[first][code], size) + step], data)
-        if not same:
-            raise ArithmeticError("two fragments share a 64-bit hash")
+        if not np.array_equal(size, size[first][code]):
+            return False
+        ends = np.cumsum(size)
+        step = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        return np.array_equal(data[np.repeat(lo[first][code], size) + step], data)
 
 
 @lru_cache(maxsize=2)
@@ -103,6 +104,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """The name under which executors find the rank file; the driver hands it to them once a session."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(data, offsets) of slices of a string column, straight from its buffers; null counts as empty."""
     column = column.fill_null("").cast(pa.large_string())
@@ -123,10 +130,10 @@ def encode(df: DataFrame, row_id: str = "doc_id", text: str = "text", path: str
     Empty and null texts both give an empty list. Row ids may be null or repeated; each row comes out once. An empty table
     gives an empty one. The map is narrow: nothing is shuffled.
     """
-    path = path or default_path()
+    name = shipped(df.sparkSession, path or default_path())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(SparkFiles.get(name))
         for b in parts:
             at = 0
             for data, offsets in _texts(b.column(1)):
@@ -142,10 +149,10 @@ def encode(df: DataFrame, row_id: str = "doc_id", text: str = "text", path: str
 
 def count(df: DataFrame, row_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(row_id, n_tokens): the sizes of encode's lists, without handing the lists to the JVM."""
-    path = path or default_path()
+    name = shipped(df.sparkSession, path or default_path())
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(SparkFiles.get(name))
         for b in parts:
             sizes = [bpe.encode(data, offsets)[1] for data, offsets in _texts(b.column(1))]
             if sizes:
