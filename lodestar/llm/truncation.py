@@ -19,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.lines import frequent_lines, letters
-from lodestar.session import broadcast_if_small, cut
+from lodestar.llm.lines import frequent_lines, keyed_lines
+from lodestar.session import BROADCAST_BYTES, cut
 
 #: Rows in the training sample, hashed weights, passes over the sample, and rounds of dropping negatives that look cut.
 SAMPLE, WEIGHTS, EPOCHS, ROUNDS = 20_000, 1 << 18, 12, 2
@@ -32,6 +32,8 @@ STOPS = ".!?।॥。！？"
 CLOSERS = "\"'»”’)]*_"
 #: Texts that a known word stands in, and counts that a task holds before it passes them on.
 KNOWN_TEXTS, HELD = 3, 200_000
+#: Last characters of a sampled text that serve to learn from.
+LEARNT = 6000
 _TAIL = 400
 #: Words that stand before another word or a stop are whole.
 _WHOLE = re.compile(r"\w+(?=\W+\w)|\w+(?=[.!?।,;:])")
@@ -153,7 +155,7 @@ def cuts(text: str, limits: tuple[int, ...], habits: dict[int, str], rng: np.ran
 
 def source_limits(df: DataFrame, source: str, text: str) -> DataFrame:
     """(src, n): lengths of far too many distinct texts of a source, counted over all rows; copies count once."""
-    rows = df.select(F.coalesce(F.col(source), F.lit("")).alias("src"), F.length(text).alias("n"), F.xxhash64(text).alias("h")).where("n >= 100")
+    rows = df.select(F.coalesce(F.col(source), F.lit("")).alias("src"), F.length(text).alias("n"), F.xxhash64(text).alias("h")).where("n > 0")
     by_len = rows.distinct().groupBy("src", "n").agg(F.count("*").alias("rows"))
     total = by_len.groupBy("src").agg(F.sum("rows").alias("total"))
     around = Window.partitionBy("src").orderBy("n").rangeBetween(-20, 20)
@@ -166,47 +168,68 @@ def prepared(df: DataFrame, row_id: str, source: str, text: str) -> DataFrame:
     """(row_id, src, n_chars, body, limits): texts without the footers that their source repeats, with its limits."""
     rows = df.select(F.col(row_id).alias("row_id"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.col(text).alias("text"))
     rows = rows.where(r"text is not null and text rlike '(?U)\\S'")
-    limits = cut(source_limits(df, source, text).groupBy("src").agg(F.sort_array(F.collect_list("n")).alias("limits")))
-    lines = cut(
-        frequent_lines(df.withColumn(source, F.coalesce(source, F.lit(""))), source, text, min_letters=12, min_rows=5, min_share=0.04)
-        .groupBy("src").agg(F.collect_list(F.struct("h1", "h2")).alias("footers"))
+    limits = _sized(cut(source_limits(df, source, text).groupBy("src").agg(F.sort_array(F.collect_list("n")).alias("limits"))), "limits", 4)
+    lines = _sized(
+        cut(
+            frequent_lines(df.withColumn(source, F.coalesce(source, F.lit(""))), source, text, min_letters=12, min_rows=5, min_share=0.04)
+            .groupBy("src").agg(F.collect_list(F.struct("h1", "h2")).alias("footers"))
+        ), "footers", 24,
     )
-    # both tables hold one row a source, each with a bounded list
-    rows = rows.join(broadcast_if_small(limits, 256), "src", "left").join(broadcast_if_small(lines, 2048), "src", "left")
-    keyed = F.transform(
-        F.split("text", "\n", -1),
-        lambda x: F.struct(x.alias("line"), F.struct(F.xxhash64(letters(x)).alias("h1"), F.xxhash64(F.lit(1), letters(x)).alias("h2")).alias("h")),
-    )
-    kept = F.transform(F.filter(keyed, lambda x: ~F.array_contains(F.col("footers"), x["h"])), lambda x: x["line"])
+    rows = rows.join(limits, "src", "left").join(lines, "src", "left")
+    kept = F.transform(F.filter(keyed_lines(F.col("text")), lambda x: ~F.array_contains(F.col("footers"), x["h"])), lambda x: x["line"])
     body = F.when(F.col("footers").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return rows.select("row_id", "src", F.length("text").alias("n_chars"), body.alias("body"), F.coalesce("limits", F.array().cast("array<int>")).alias("limits"))
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(src, n, word, texts) over all prepared rows, whole bodies read: with null src and n, how many texts each whole word
-    stands in, words of fewer than KNOWN_TEXTS left out; else how many texts of a source end in each mark at its limit n."""
+def _sized(lists: DataFrame, column: str, item_bytes: int) -> DataFrame:
+    """Lists by source, marked for broadcast if their items and keys, counted, are small."""
+    size = lists.agg(F.coalesce(F.sum(F.size(column) * item_bytes + F.octet_length("src") + 64), F.lit(0)).alias("n")).first().n
+    return F.broadcast(lists) if size <= BROADCAST_BYTES else lists
+
+
+def drawn(src: str, n: int, body: str, row_id: object) -> int:
+    """A 30-bit number that decides whether a row is in the sample; equal ids are told apart by their texts."""
+    return zlib.crc32(f"{row_id}|{src}|{n}|".encode("utf-8", "surrogatepass") + body.encode("utf-8", "surrogatepass")) >> 2
+
+
+_COUNTED = "kind int, src string, n int, word string, texts long, limits array<int>"
+
+
+def counted(rows: DataFrame, below: int) -> DataFrame:
+    """(kind, src, n, word, texts, limits) of one pass over all prepared rows, whole bodies read.
+
+    Kind 0: in how many texts of a part of the rows each whole word stands; kind 1: how many of them end in a mark (word)
+    at their source's limit n; kind 2: the rows whose drawn number is less than `below`, word being their body (its last
+    LEARNT characters) and texts the number.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"src": [k[0] for k in held], "n": pd.array([k[1] for k in held], dtype="Int32"), "word": [k[2] for k in held], "texts": list(held.values())})
+            out = pd.DataFrame(
+                {"kind": [int(k[0] is not None) for k in held], "src": [k[0] for k in held], "n": pd.array([k[1] for k in held], dtype="Int32"),
+                 "word": [k[2] for k in held], "texts": list(held.values()), "limits": None}
+            )
             held.clear()
             return out
 
         for p in parts:
-            for s, n, b, ls in zip(p.src, p.n_chars, p.body, p.limits):
+            picked = []
+            for i, s, n, b, ls in zip(p.row_id, p.src, p.n_chars, p.body, p.limits):
                 held.update((None, None, w) for w in set(_WHOLE.findall(b.lower())))
                 if n in ls:
                     held[s, int(n), unmarked(b)[1]] += 1
+                if (draw := drawn(s, n, b, i)) < below:
+                    picked.append((2, s, int(n), b[-LEARNT:], draw, ls))
                 if len(held) >= HELD:
                     yield flush()
+            if picked:
+                yield pd.DataFrame(picked, columns=["kind", "src", "n", "word", "texts", "limits"])
         if held:
             yield flush()
 
-    each = rows.select("src", "n_chars", "body", "limits").mapInPandas(run, "src string, n int, word string, texts long")
-    total = each.groupBy("src", "n", "word").agg(F.sum("texts").alias("texts"))
-    return total.where(F.col("src").isNotNull() | (F.col("texts") >= KNOWN_TEXTS))
+    return rows.select("row_id", "src", "n_chars", "body", "limits").mapInPandas(run, _COUNTED)
 
 
 def train(
@@ -272,17 +295,11 @@ def scored(df: DataFrame, row_id: str = "doc_id", source: str = "source", text:
     """
     spark = df.sparkSession
     rows = prepared(df, row_id, source, text)
-    counts = cut(counted(rows))
-    words = counts.where("src is null").select("word")
-    n = df.count()
-    # rows are drawn one by one; equal ids are told apart by their texts
-    draw = F.xxhash64("row_id", "src", "body")
-    picked = rows
-    if n > sample:
-        picked = rows.where(F.pmod(draw, F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    # the sampled texts' first part serves as a text to be cut; its end is kept in full form
-    picked = picked.withColumn("draw", draw).withColumn("body", F.when(F.length("body") > 6000, F.right("body", F.lit(6000))).otherwise(F.col("body")))
-    learnt = picked.select("src", "n_chars", "body", "limits", "draw").orderBy("draw", "src", "n_chars", "body").limit(2 * sample).toPandas()
+    every = cut(counted(rows, int((1 << 30) * min(1.0, sample / max(1, df.count())))))
+    words = every.where("kind = 0").groupBy("word").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= KNOWN_TEXTS).select("word")
+    words = cut(words)
+    learnt = every.where("kind = 2").select("src", F.col("n").alias("n_chars"), F.col("word").alias("body"), "limits", F.col("texts").alias("draw"))
+    learnt = learnt.orderBy("draw", "src", "n_chars", "body").limit(2 * sample).toPandas()
 
     def known(some: set[str]) -> set[str]:
         asked = spark.createDataFrame([(w,) for w in sorted(some)], "word string")
@@ -290,22 +307,28 @@ def scored(df: DataFrame, row_id: str = "doc_id", source: str = "source", text:
 
     own = spark.createDataFrame([(s,) for s in sorted(set(learnt.src))], "src string")
     # the commonest mark of each limit of the sampled sources; the least of equals
-    best = counts.join(F.broadcast(own), "src", "left_semi").groupBy("src", "n").agg(F.min(F.struct(-F.col("texts"), F.col("word").alias("mark"))).alias("m"))
+    ends = every.where("kind = 1").join(F.broadcast(own), "src", "left_semi").groupBy("src", "n", "word").agg(F.sum("texts").alias("texts"))
+    best = ends.groupBy("src", "n").agg(F.min(F.struct(-F.col("texts"), F.col("word").alias("mark"))).alias("m"))
     marks = {(r.src, r.n): r.m.mark for r in best.collect()}
-    shared = spark.sparkContext.broadcast(train(learnt, marks, known))
+    model = train(learnt, marks, known)
+
+    size = words.agg(F.coalesce(F.sum(F.octet_length("word") + 80), F.lit(0)).alias("n")).first().n
+    listed = frozenset(r.word for r in words.collect()) if size <= BROADCAST_BYTES else None
+    shared = spark.sparkContext.broadcast((model, listed))
+    if listed is None:  # too many words to send to every task: a join tells which last words are known
 
-    @F.pandas_udf("string")
-    def ends(bodies: pd.Series) -> pd.Series:
-        return bodies.map(last_word)
+        @F.pandas_udf("string")
+        def ending(bodies: pd.Series) -> pd.Series:
+            return bodies.map(last_word)
 
-    listed = broadcast_if_small(cut(words.withColumn("known", F.lit(True))), 64)
-    rows = rows.withColumn("word", ends("body")).join(listed, "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        rows = rows.withColumn("word", ending("body")).join(words.withColumn("known", F.lit(True)), "word", "left").drop("word")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model, listed = shared.value
         for p in parts:
             if len(p):
-                x = np.array([hashed(features(b, n, tuple(ls), k)) for b, n, ls, k in zip(p.body, p.n_chars, p.limits, p.known)])
+                known = [last_word(b) in listed for b in p.body] if listed is not None else p.known.notna()
+                x = np.array([hashed(features(b, n, tuple(ls), bool(k))) for b, n, ls, k in zip(p.body, p.n_chars, p.limits, known)])
                 yield pd.DataFrame({"row_id": p.row_id, "src": p.src, "p": model.score(x)})
 
     kind = df.schema[row_id].dataType.simpleString()
