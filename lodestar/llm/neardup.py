@@ -4,7 +4,7 @@
    a small HyperMinHash sketch for estimates.
 2. Bands: six hash functions spread a text's shingles over 64 buckets each; a bucket keeps the least hash as a register
    of leading-zero count and mantissa bits. Band b takes bucket b of each function. Entries (band key, class) travel as
-   packed arrays, nine bytes each; classes that share a key are candidates.
+   packed arrays, twelve bytes each; classes that share a key are candidates.
 3. Estimate: candidates whose sketch agreement, corrected for chance collisions of compressed registers, lies four
    standard errors below the threshold are left out.
 4. Verification: the exact similarity of the shingle sets decides.
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from lodestar.llm.components import components
 from lodestar.llm.wordhash import U, Words, joined, mix, slices
-from lodestar.session import broadcast_if_small, cut
+from lodestar.session import BROADCAST_BYTES, broadcast_if_small, cut
 
 FUNCTIONS, BUCKETS = 6, 64
 #: Entries that one part of a band should hold, and classes under one key beyond which its pairs are made in blocks.
 PART_ROWS, HOT = 2_000_000, 512
+#: Bytes of entries that a task gathers before it passes them on, and rows of a class that one task expands into pairs.
+HELD_BYTES, CHUNK = 32 << 20, 2_000
 _SALT = mix(np.arange(1, FUNCTIONS + 3, dtype=U))
 _rng = np.random.default_rng(20240101)
 _PROBES = _rng.integers(0, BUCKETS, size=(256, FUNCTIONS, BUCKETS))
@@ -172,9 +174,17 @@ def band_entries(texts: DataFrame, min_words: int, shingle: int, split: int) ->
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.empty((0, 2), dtype=U)  # by the first half
+        held: list[list[np.ndarray]] = [[] for _ in range(BUCKETS * split)]
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            full = [(p, np.concatenate(es).tobytes()) for p, es in enumerate(held) if es]
+            for es in held:
+                es.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in full], pa.int32()), pa.array([e for _, e in full], pa.binary())], names=["part", "entries"])
+
         for b in parts:
             words = joined(b.column(1), b.column(2))
-            held: list[list[np.ndarray]] = [[] for _ in range(BUCKETS * split)]
             for lo, hi in slices(words):
                 t = _Texts(words[lo:hi], min_words, shingle)
                 if not t.n:
@@ -189,6 +199,7 @@ def band_entries(texts: DataFrame, min_words: int, shingle: int, split: int) ->
                 sent = sent[np.argsort(sent[:, 0], kind="stable")]
                 regs = densify(registers(t.keys, t.n)[first]).astype(U)
                 cls = ids[first, 0]
+                size += len(first) * BUCKETS * _ENTRY.itemsize
                 for band in range(BUCKETS):
                     k = np.full(len(first), U(band + 1))
                     for f in range(FUNCTIONS):
@@ -202,11 +213,11 @@ def band_entries(texts: DataFrame, min_words: int, shingle: int, split: int) ->
                     order = np.argsort(piece, kind="stable")
                     for p, own in zip(*_runs(piece[order])):
                         held[band * split + p].append(e[order[own[0] : own[1]]])
-            full = [(p, np.concatenate(es).tobytes()) for p, es in enumerate(held) if es]
-            if full:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in full], pa.int32()), pa.array([e for _, e in full], pa.binary())], names=["part", "entries"]
-                )
+                if size >= HELD_BYTES:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
 
     return texts.mapInArrow(run, "part int, entries binary")
 
@@ -218,62 +229,110 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return ordered[at], list(zip(at.tolist(), ends.tolist()))
 
 
-def _all_pairs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.triu_indices(len(g), 1)
-    return g[i], g[j]
+def _spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of a part too large for one task under the cells (lo, hi) of pairs of salts of their classes."""
+    for p in parts:
+        for part, salts, packed in zip(p.part, p.salts, p.entries):
+            e = np.frombuffer(packed, dtype=_ENTRY)
+            salt = mix(e["cls"].astype(U)) % U(salts)
+            for a in range(salts):
+                own = e[salt == a].tobytes()
+                cells = [(part, salts, min(a, b), max(a, b), own) for b in range(salts)] if own else []
+                yield pd.DataFrame(cells, columns=["part", "salts", "lo", "hi", "entries"])
+
+
+_MADE = "a long, b long, part int, lo int, hi int, key long, side int, at int, others int, ids binary"
 
 
 def _band_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b) of classes under one key of a part; of a hot key, pairs of blocks as packed arrays."""
+    """Pairs (a, b) of classes under one key of a cell of a part; of a hot key, its classes in blocks of HOT.
+
+    A block has its number `at`, the number of blocks that it meets, and a side: 0 or 1 where the two salts of a cell meet,
+    2 where the blocks of one salt meet one another.
+    """
     e = np.frombuffer(b"".join(rows.entries), dtype=_ENTRY)
+    part, salts, lo, hi = (int(rows[k].iloc[0]) for k in ("part", "salts", "lo", "hi"))
     key, cls = e["key"].astype(U), e["cls"].astype(U)
     order = np.lexsort((cls, key))
     key, cls = key[order], cls[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]) if len(key) else np.empty(0, dtype=bool)
     key, cls = key[new], cls[new]
+    salt = mix(cls) % U(salts)
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, dtype=np.int64)
     size = np.diff(np.append(at, len(key)))
     a, b, blocks = [], [], []
     for n in np.unique(size[(size > 1) & (size <= 16)]):  # all groups of one small size at once
-        own = cls[at[size == n][:, None] + np.arange(n)]
+        own = at[size == n][:, None] + np.arange(n)
         i, j = np.triu_indices(n, 1)
         a.append(own[:, i].ravel())
         b.append(own[:, j].ravel())
     for s, n in zip(at[size > 16], size[size > 16]):
-        own = cls[s : s + n]
         if n <= HOT:
-            x, y = _all_pairs(own)
-            a.append(x)
-            b.append(y)
-        else:
-            cuts = [own[k : k + HOT].tobytes() for k in range(0, n, HOT)]
-            blocks += [(x, y) for i, x in enumerate(cuts) for y in cuts[i:]]
-    a, b = (np.concatenate(x).astype(np.int64) if x else np.empty(0, dtype=np.int64) for x in (a, b))
-    out = pd.DataFrame({"a": a, "b": b, "block_a": None, "block_b": None})
+            i, j = np.triu_indices(n, 1)
+            a.append(s + i)
+            b.append(s + j)
+            continue
+        sides = [(2, cls[s : s + n])] if lo == hi else [(k, cls[s : s + n][salt[s : s + n] == v]) for k, v in ((0, lo), (1, hi))]
+        many = [-(-len(own) // HOT) for _, own in sides]
+        for (side, own), others in zip(sides, many[::-1]):
+            blocks += [(part, lo, hi, int(key[s]), side, k, others, own[k * HOT : (k + 1) * HOT].tobytes()) for k in range(-(-len(own) // HOT))]
+    a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (a, b))
+    if lo != hi:
+        across = salt[a] != salt[b]
+        a, b = a[across], b[across]
+    whole = pd.DataFrame({"a": cls[a].astype(np.int64), "b": cls[b].astype(np.int64)})
+    for k, v in (("part", part), ("lo", lo), ("hi", hi), ("key", 0), ("side", 0), ("at", 0), ("others", 0), ("ids", None)):
+        whole[k] = v
     if not blocks:
-        return out
-    more = pd.DataFrame({"a": np.arange(len(blocks)), "b": -1, "block_a": [x for x, _ in blocks], "block_b": [y for _, y in blocks]})
-    return pd.concat([out, more])
+        return whole
+    more = pd.DataFrame(blocks, columns=["part", "lo", "hi", "key", "side", "at", "others", "ids"])
+    return pd.concat([whole, more.assign(a=0, b=0)[whole.columns]]) if len(whole) else more.assign(a=0, b=0)[whole.columns]
 
 
-def _expand(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in parts:
-        for x, y in zip(p.block_a, p.block_b):
-            x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-            a, b = np.repeat(x, len(y)), np.tile(y, len(x))
-            yield pd.DataFrame({"a": a[a < b].astype(np.int64), "b": b[a < b].astype(np.int64)})
+def _met(made: DataFrame) -> DataFrame:
+    """Pairs of classes of the blocks of hot keys: each pair of blocks that meet is a key of a join, so that no task has
+    more than its share of them."""
+    blocks = made.where("ids is not null")
+    key = ["part", "lo", "hi", "key"]
+    last = F.col("others") - 1
+    left = blocks.where("side <> 1").select(*key, F.col("at").alias("l"), F.explode(F.sequence(F.when(F.col("side") == 2, F.col("at")).otherwise(0), last)).alias("r"), F.col("ids").alias("block_a"))
+    right = blocks.where("side <> 0").select(*key, F.col("at").alias("r"), F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 2, F.col("at")).otherwise(last))).alias("l"), F.col("ids").alias("block_b"))
+
+    def expand(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for x, y in zip(p.block_a, p.block_b):
+                x, y = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
+                a, b = np.repeat(x, len(y)), np.tile(y, len(x))
+                # a block that meets itself has every pair twice
+                ok = a < b if np.array_equal(x, y) else a != b
+                yield pd.DataFrame({"a": np.minimum(a, b)[ok].astype(np.int64), "b": np.maximum(a, b)[ok].astype(np.int64)})
+
+    return left.join(right, [*key, "l", "r"]).select("block_a", "block_b").mapInPandas(expand, "a long, b long")
 
 
 def candidates(texts: DataFrame, min_words: int, shingle: int, n_rows: int) -> DataFrame:
-    """Distinct pairs (a < b) of first halves of class ids (as unsigned numbers) that share a band."""
+    """Distinct pairs (a < b) of first halves of class ids (as unsigned numbers) that share a band.
+
+    Where there are so many rows that a part could outgrow a task, the parts' entries are counted and those of large parts
+    are spread over pairs of salts of their classes.
+    """
     split = max(1, math.ceil(n_rows / PART_ROWS))
-    made = band_entries(texts, min_words, shingle, split).groupBy("part").applyInPandas(
-        _band_pairs, "a long, b long, block_a binary, block_b binary"
-    )
-    made = cut(made)
-    hot = made.where("block_a is not null")
-    hot = hot.repartition("a").select("block_a", "block_b").mapInPandas(_expand, "a long, b long")
-    return made.where("block_a is null").select("a", "b").unionByName(hot).distinct()
+    entries = band_entries(texts, min_words, shingle, split)
+    one = [F.lit(k).alias(c) for k, c in ((1, "salts"), (0, "lo"), (0, "hi"))]
+    if split == 1:  # a part has at most PART_ROWS entries
+        entries = entries.select("part", *one, "entries")
+    else:
+        entries = cut(entries)
+        size = entries.groupBy("part").agg(F.sum(F.octet_length("entries") / _ENTRY.itemsize).alias("n"))
+        size = broadcast_if_small(cut(size.select("part", F.ceil(F.col("n") / (4 * PART_ROWS)).cast("int").alias("salts")).where("salts > 1")), 16)
+        sized = entries.join(size, "part", "left")
+        large = sized.where("salts is not null").select("part", "salts", "entries").mapInPandas(_spread, "part int, salts int, lo int, hi int, entries binary")
+        entries = sized.where("salts is null").select("part", *one, "entries").unionByName(large)
+    made = cut(entries.groupBy("part", "lo", "hi").applyInPandas(_band_pairs, _MADE))
+    pairs = made.where("ids is null").select("a", "b")
+    if not made.where("ids is not null").isEmpty():
+        pairs = pairs.unionByName(_met(made))
+    return pairs.distinct()
 
 
 def _estimated(threshold: float):  # noqa: ANN202
@@ -350,17 +409,40 @@ def near_pairs(
     ids are not paired with themselves; other columns are ignored. Texts are read whole.
     """
     rows, pairs = class_pairs(df, row_id, title, description, threshold, min_words, shingle)
+    k = _chunks(rows)
+    # a class of several rows is near to itself
+    own = rows.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(x + c[1]) for x in "ab" for c in ("c1", "c2")])
+    every = pairs.unionByName(own)
+    for x in "ab":
+        every = every.join(k.withColumnsRenamed({"c1": f"{x}1", "c2": f"{x}2", "k": f"k_{x}"}), [f"{x}1", f"{x}2"], "left")
+        every = every.withColumn(f"s_{x}", F.explode(F.sequence(F.lit(0), F.coalesce(f"k_{x}", F.lit(1)) - 1))).drop(f"k_{x}")
+    salted = _salted(rows, k)
 
     def member(x: str) -> DataFrame:
-        return rows.select(F.col("row_id").alias(f"id_{x}"), F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"))
+        return salted.select(F.col("row_id").alias(f"id_{x}"), F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("salt").alias(f"s_{x}"))
 
-    a, b = member("a"), member("b")
-    apart = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).select("id_a", "id_b")
-    same = a.join(b, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))).select("id_a", "id_b").where("id_a < id_b")
-    both = apart.where("id_a <> id_b").unionByName(same)
+    both = every.join(member("a"), ["a1", "a2", "s_a"]).join(member("b"), ["b1", "b2", "s_b"])
+    itself = (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2"))
+    both = both.where(F.when(itself, F.col("id_a") < F.col("id_b")).otherwise(F.col("id_a") != F.col("id_b")))
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
+def _chunks(rows: DataFrame) -> DataFrame:
+    """(c1, c2, k), to be broadcast: into how many salts the rows of each large class are split.
+
+    The chunk grows with the table so far that the large classes, each a chunk at least, always fit a broadcast.
+    """
+    chunk = max(CHUNK, rows.count() * 32 // BROADCAST_BYTES)
+    sizes = rows.groupBy("c1", "c2").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    return F.broadcast(cut(sizes.select("c1", "c2", F.ceil(F.col("n") / chunk).cast("int").alias("k"))))
+
+
+def _salted(rows: DataFrame, k: DataFrame) -> DataFrame:
+    """rows with the salt of each."""
+    salt = F.pmod(F.xxhash64("row_id"), F.coalesce("k", F.lit(1))).cast("int")
+    return rows.join(k, ["c1", "c2"], "left").withColumn("salt", salt).drop("k")
+
+
 def near_groups(
     df: DataFrame, row_id: str = "log_id", title: str = "title", description: str = "description",
     threshold: float = 0.6, min_words: int = 20, shingle: int = 3,
@@ -377,4 +459,6 @@ def near_groups(
     links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     named = reps.join(links, "rep", "left").join(components(edges, "a", "b").withColumnRenamed("node", "rep"), "rep", "left")
     out = named.select("c1", "c2", F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("group_id"))
-    return rows.join(out, ["c1", "c2"]).select(F.col("row_id").alias(row_id), "class_id", "links", "group_id")
+    k = _chunks(rows)
+    out = out.join(k, ["c1", "c2"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
+    return _salted(rows, k).join(out, ["c1", "c2", "salt"]).select(F.col("row_id").alias(row_id), "class_id", "links", "group_id")

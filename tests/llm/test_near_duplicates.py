@@ -59,6 +59,17 @@ def test_copies_hot_bands_short_null_and_empty(spark, monkeypatch):
     assert groups[9].class_id == 0 and groups[124].group_id == groups[9].group_id == 0 and groups[204].group_id == 203 and groups[203].links == 0
 
 
+def test_large_parts_hot_keys_and_hot_classes_are_spread(spark, monkeypatch):
+    rows = corpus(7, 15) + [(1000 + i, None, " ".join([f"k{j}" for j in range(39)] + [f"end{i % 30}"]), "x") for i in range(60)]
+    df = spark.createDataFrame(rows, ROWS)
+    plain = sorted((r.id_a, r.id_b) for r in neardup.near_pairs(df).collect())
+    groups = sorted(map(tuple, neardup.near_groups(df).collect()))
+    for name, value in (("PART_ROWS", 10), ("HOT", 3), ("CHUNK", 1), ("HELD_BYTES", 1000)):
+        monkeypatch.setattr(neardup, name, value)
+    assert sorted((r.id_a, r.id_b) for r in neardup.near_pairs(df).collect()) == plain and set(plain) <= brute(rows)
+    assert sorted(map(tuple, neardup.near_groups(df).collect())) == groups
+
+
 def test_no_rows(spark):
     assert neardup.near_pairs(spark.createDataFrame([], ROWS)).count() == 0
 
