@@ -111,6 +111,16 @@ n AS (SELECT log_id, count(*) AS n FROM s GROUP BY 1),
 j AS (SELECT a.log_id AS log_id_a, b.log_id AS log_id_b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.log_id < b.log_id GROUP BY 1, 2)
 SELECT log_id_a, log_id_b FROM j JOIN n na ON na.log_id = log_id_a JOIN n nb ON nb.log_id = log_id_b
 WHERE shared / (na.n + nb.n - shared) >= 0.6""",
+    "p1_groups": """WITH RECURSIVE w AS (SELECT log_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(description, '')), '[a-z0-9]+') AS w FROM youtube_items),
+s AS (SELECT DISTINCT log_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
+k AS (SELECT log_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS key FROM s GROUP BY 1),
+c AS (SELECT key, min(log_id) AS class_id, any_value(n) AS n FROM k GROUP BY 1),
+cs AS (SELECT class_id, n, g FROM s JOIN c ON s.log_id = class_id),
+j AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) AS total FROM cs a JOIN cs b ON a.g = b.g AND a.class_id < b.class_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM j WHERE shared / (total - shared) >= 0.6), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, root) AS (SELECT class_id, class_id FROM c UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node),
+t AS (SELECT node, min(root) AS group_id FROM r GROUP BY 1), l AS (SELECT a, count(*) AS links FROM u GROUP BY 1)
+SELECT k.log_id, c.class_id, coalesce(links, 0) AS links, group_id FROM k JOIN c ON c.key = k.key JOIN t ON t.node = c.class_id LEFT JOIN l ON l.a = c.class_id""",
     "p2_found": f"WITH {_LINES} SELECT log_id, line_no::INTEGER AS line_no FROM hit",
     "p2_cleaned": f"""WITH {_LINES},
 kept AS (SELECT i.log_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS d FROM youtube_items i
