@@ -27,15 +27,14 @@ def p4_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the crawl log to drop, so that each video keeps its smallest log_id."""
+    """Rows of the crawl log to drop, so that each video keeps its smallest log_id: the log is numbered as it was delivered."""
     return dedupe.dropped(table(spark, sf_dir, "youtube_items"), dedupe.clean_id(F.col("video_id")), "log_id")
 
 
 def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawl log with one row of each video: the first fetched, then the smallest log_id (null times come last)."""
     items = table(spark, sf_dir, "youtube_items")
-    order = [F.col("fetched_at").isNull(), F.col("fetched_at")]
-    kept = dedupe.keep_one(items, dedupe.clean_id(F.col("video_id")), "log_id", order)
+    kept = dedupe.keep_one(items, dedupe.clean_id(F.col("video_id")), "log_id", [F.col("fetched_at")])
     return kept.select("log_id", "video_id", "title", "playlist_title", "channel_title")
 
 

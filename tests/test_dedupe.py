@@ -29,3 +29,19 @@ def test_ties_hot_ids_and_empty_tables(spark):
     empty = spark.createDataFrame([], IDS)
     assert dedupe.keep_one(empty, dedupe.clean_id(F.col("video_id")), "log_id").count() == 0
     assert dedupe.dropped(empty, dedupe.clean_id(F.col("video_id")), "log_id").count() == 0
+
+
+def test_the_choice_stays_a_hash_aggregation_and_orders_like_a_struct(spark):
+    rows = [(5, "a", None, "x"), (3, "a", 2, "y"), (9, "b", -7, "z"), (8, "b", 4, "n"), (-2, "c", 1, "n"), (-1, "c", 1, "e"), (7, "d", None, "e"), (6, "d", None, "e")]
+    df = spark.createDataFrame(rows, IDS).withColumn("time", F.timestamp_micros(F.col("fetched_at")).cast("timestamp_ntz"))
+    for order in (None, [F.col("fetched_at")], [F.col("time")]):
+        stay = dedupe.keepers(df, F.col("video_id"), "log_id", order)
+        plan = stay._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+        assert sorted(r.log_id for r in stay.collect()) == ([-2, 3, 5 + 1, 8] if order is None else [-2, 3, 6, 9])
+
+
+def test_row_ids_of_other_types_and_orders(spark):
+    df = spark.createDataFrame([("r2", "a", "2"), ("r1", "a", "1"), ("r3", None, "0")], "row string, id string, t string")
+    assert [r.row for r in dedupe.keepers(df, F.col("id"), "row").collect()] == ["r1"]
+    assert [r.row for r in dedupe.keepers(df, F.col("id"), "row", [F.col("t")]).collect()] == ["r1"]
