@@ -232,23 +232,58 @@ def near_pairs(df: DataFrame, id_col: str, lat: str, lng: str, metres: float, **
     )
 
 
-def in_region(points: DataFrame, regions: DataFrame, cell_deg: float = 1.0) -> DataFrame:
+def _spans(regions: DataFrame) -> DataFrame:
+    """(region_id, w, s, e, n) boxes; two for one that crosses the date line (lng0 > lng1)."""
+    west, east = F.col("lng0"), F.col("lng1")
+    one = F.array(F.struct(west.alias("w"), east.alias("e")))
+    two = F.array(F.struct(west.alias("w"), F.lit(180.0).alias("e")), F.struct(F.lit(-180.0).alias("w"), east.alias("e")))
+    whole = regions.where("region_id is not null and lat0 <= lat1 and lng0 is not null and lng1 is not null")
+    return whole.select("region_id", F.col("lat0").alias("s"), F.col("lat1").alias("n"), F.explode(F.when(west <= east, one).otherwise(two)).alias("x")).select("region_id", "x.w", "s", "x.e", "n")
+
+
+def in_region(points: DataFrame, regions: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, chunk: int = CHUNK) -> DataFrame:
     """(id, region_id): the boxes (region_id, lat0, lng0, lat1, lng1) that hold each usable point (id, lat, lng).
 
-    A grid equi-join instead of a theta join: boxes are listed under the cells they touch, a point looks in its own cell
-    alone, so every match comes out once. Boxes that cross the date line have lng0 > lng1.
+    The same quadtree as for near points: a box is replicated to the leaves that it touches, each leaf's boxes form an
+    R-tree that its points probe, and the comparison with the borders is exact. A point lies in one leaf only, so nothing
+    is reported twice. A leaf of many points is probed in several tasks. Repeated rows count once; rows without an id or a
+    usable location, and boxes without borders, never count; empty tables give an empty result.
     """
-    cells = lambda lo, hi: F.sequence(F.floor(lo / cell_deg).cast("int"), F.floor(hi / cell_deg).cast("int"))
-    whole = regions.where("lat0 <= lat1").select(
-        "region_id", "lat0", "lat1",
-        F.explode(
-            F.when(F.col("lng0") <= F.col("lng1"), F.array(F.struct(F.col("lng0").alias("w"), F.col("lng1").alias("e")))).otherwise(
-                F.array(F.struct(F.col("lng0").alias("w"), F.lit(180.0).alias("e")), F.struct(F.lit(-180.0).alias("w"), F.col("lng1").alias("e")))
-            )
-        ).alias("span"),
-    ).select("region_id", "lat0", "lat1", "span.w", "span.e")
-    listed = whole.withColumn("cy", F.explode(cells(F.col("lat0"), F.col("lat1")))).withColumn("cx", F.explode(cells(F.col("w"), F.col("e"))))
-    at = points.where(usable(F.col("lat"), F.col("lng"))).select(
-        "id", "lat", "lng", F.floor(F.col("lat") / cell_deg).cast("int").alias("cy"), F.floor(F.col("lng") / cell_deg).cast("int").alias("cx")
-    )
-    return at.join(listed, ["cy", "cx"]).where("lat between lat0 and lat1 and lng between w and e").select("id", "region_id").distinct()
+    spark = points.sparkSession
+    points = cut(points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")).where(F.col("id").isNotNull() & usable(F.col("lat"), F.col("lng"))).distinct())
+    n = points.count()
+    seen = _sample(points, n, sample)
+    tree = Quadtree(seen.lat.to_numpy(), seen.lng.to_numpy(), max(1.0, leaf * len(seen) / max(n, 1)))
+    shared = spark.sparkContext.broadcast((tree, RTree(tree.boxes())))  # bounded by the sample, not by the data
+    of_point, of_region = (d.schema[c].dataType.simpleString() for d, c in ((points, "id"), (regions, "region_id")))
+
+    def homes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, _ = shared.value
+        for p in parts:
+            yield pd.DataFrame({"leaf": tree.leaf(p.lat.to_numpy(), p.lng.to_numpy()), "id": p["id"], "lat": p.lat, "lng": p.lng})
+
+    def touched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, leaves = shared.value
+        for p in parts:
+            x0, y0 = tree.grid(p.s.to_numpy(), p.w.to_numpy())
+            x1, y1 = tree.grid(p.n.to_numpy(), p.e.to_numpy())
+            for box, at in leaves.probe(np.stack([x0, y0, x1, y1], axis=1).astype(np.float64)):
+                own = p.iloc[box]
+                yield pd.DataFrame({"leaf": at, "region_id": own.region_id.to_numpy(), **{k: own[k].to_numpy() for k in "wsen"}})
+
+    placed = points.mapInPandas(homes, f"leaf long, id {of_point}, lat double, lng double")
+    boxes = _spans(regions).mapInPandas(touched, f"leaf long, region_id {of_region}, w double, s double, e double, n double")
+    parts = placed.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / chunk).cast("int").alias("parts")).where("parts > 1")
+    parts = broadcast_if_small(cut(parts), 24)
+    placed = placed.join(parts, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    boxes = boxes.join(parts, "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+    def join(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        lat, lng = own.lat.to_numpy(), own.lng.to_numpy()
+        found = [pd.DataFrame({"id": own["id"].iloc[:0], "region_id": held.region_id.iloc[:0]})]
+        if len(own) and len(held):
+            for i, k in RTree(held[list("wsen")].to_numpy()).probe(np.stack([lng, lat, lng, lat], axis=1)):
+                found.append(pd.DataFrame({"id": own["id"].to_numpy()[i], "region_id": held.region_id.to_numpy()[k]}))
+        return pd.concat(found).drop_duplicates()
+
+    return placed.groupBy("leaf", "part").cogroup(boxes.groupBy("leaf", "part")).applyInPandas(join, f"id {of_point}, region_id {of_region}")

@@ -43,3 +43,23 @@ def test_no_rows_no_pairs_and_regions(spark):
     points = spark.createDataFrame([("a", 10.2, 179.9), ("b", 10.2, -179.9), ("c", 12.0, 0.0), ("d", None, 1.0)], "id string, lat double, lng double")
     boxes = spark.createDataFrame([("r", 9.0, 11.0, 179.0, -179.0), ("s", 11.5, 12.0, -1.0, 0.0)], "region_id string, lat0 double, lat1 double, lng0 double, lng1 double")
     assert {tuple(r) for r in spatial.in_region(points, boxes).collect()} == {("a", "r"), ("b", "r"), ("c", "s")}
+
+
+def test_regions_match_brute_force_over_dense_leaves_and_the_date_line(spark):
+    import random
+
+    from lodestar.operators import spatial
+
+    rng = random.Random(6)
+    points = [(f"p{i}", rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)] + [(f"h{i}", 10 + i * 1e-7, 20.0) for i in range(200)]
+    points += [("none", None, 1.0), ("nan", float("nan"), 1.0), ("zero", 0.0, 0.0), (None, 5.0, 5.0), ("edge", 12.0, 22.0), ("east", 1.0, 180.0), ("p0", *points[0][1:])]
+    boxes = [(i, a, b, a + rng.uniform(0, 40), min(180.0, b + rng.uniform(0, 60))) for i in range(60) for a, b in [(rng.uniform(-90, 60), rng.uniform(-180, 170))]]
+    boxes += [(100, 8.0, 18.0, 12.0, 22.0), (101, -20.0, 170.0, 20.0, -170.0), (102, 5.0, 1.0, 4.0, 2.0), (103, None, 1.0, 4.0, 2.0)]
+    ok = [(i, a, b) for i, a, b in set(points) if i and a is not None and a == a and (a, b) != (0, 0)]
+    inside = lambda b, w, e: w <= b <= e if w <= e else b >= w or b <= e
+    want = {(i, r) for i, a, b in ok for r, s, w, n, e in boxes if s is not None and s <= a <= n and inside(b, w, e)}
+    p = spark.createDataFrame(points, "id string, lat double, lng double")
+    r = spark.createDataFrame(boxes, "region_id int, lat0 double, lng0 double, lat1 double, lng1 double")
+    got = [tuple(x) for x in spatial.in_region(p, r, leaf=20, chunk=15).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert spatial.in_region(p.limit(0), r).count() == 0 and spatial.in_region(p, r.limit(0)).count() == 0
