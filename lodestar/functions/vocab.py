@@ -76,6 +76,20 @@ ANSWER_STOP = tuple(
     very just about lot lots back grew up live living born home feel feels curious explore mood old""".split()
 )
 
+# Far countries and cities in titles, and words that say home.
+DISTANT = (
+    r"(?i)\b(?:Finland|Helsinki|Netherlands|Keukenhof|Holland|Sweden|Norway|Denmark|Germany|Berlin|France|Italy|Lombardy|Rome|Spain|Portugal"
+    r"|Switzerland|Austria|Salzburg|Vienna|Belgium|Poland|Greece|Istanbul|Ankara|Egypt|Kenya|Maasai\s+Mara|Serengeti|Tanzania|Morocco|Casablanca"
+    r"|Tokyo|Australia|Canada|Mauritius|Hollywood|California|Washington\s+DC|New\s+York|Brazil|Mexico|Russia|Moscow|Ural)\b"
+)
+HOME_SIGNAL = r"(?i)\b(?:india|indian|indians|india's|indo|indo-\w+|bharat|himalaya|himalayan|himalayas)\b"
+
+# Subjects that establish a place, best first.
+ESTABLISHING = (
+    "aerial", "architecture", "old town", "fort", "coastline", "hills", "river", "bazaar", "highway", "temple", "village", "farmland", "lake", "desert",
+    "snow", "forest", "railway",
+)
+
 # Phrases that name a region, a state or a terrain.
 REGION_PHRASES = {
     "north india": "North", "northern india": "North", "south india": "South", "southern india": "South",
@@ -94,11 +108,12 @@ TERRAIN_PHRASES = {
     "plains": ("dry plains",), "plateau": ("plateau",),
 }
 
-# Noise in titles, with the sentence forms of subjects.
+# Carriers, formats and hashtags in titles; an archive's own codes and its channel's name are given as an argument.
 TITLE_JUNK = (
-    r"(?i)\bSG\s*\d+\b", r"(?i)\bMPCL\b", r"(?i)\bDISC\s*\d+\b", r"(?i)\bTAPE\s*\d+\b", r"(?i)\bREEL\s*\d+\b",
-    r"(?i)\bFOOTAGE\s*$", r"\b(?:HD|4K|1080i?|HDCAM)\b", r"#\S+", r"(?i)\bwild\s?films\s?india\b",
+    r"(?i)\b(?:DISC|TAPE|REEL)\s*\d+\b", r"(?i)\bFOOTAGE\s*$", r"\b(?:HD|4K|1080i?|HDCAM)\b", r"#\S+",
 )
+
+# The sentence forms of subjects.
 SUBJECT_PHRASES = {
     "railway": "Trains and railway", "bazaar": "Market and bazaar", "river": "River and waterways", "school": "Schools",
     "temple": "Temples", "monsoon": "Monsoon rain", "farmland": "Farmland", "street food": "Street food", "bus": "Buses",
@@ -108,6 +123,8 @@ SUBJECT_PHRASES = {
     "industry": "Industry and work", "sport": "Sport", "politics": "A political gathering", "snow": "Snow", "birds": "Birds",
     "livestock": "Livestock", "architecture": "Buildings", "boats": "Boats", "desert": "Desert", "lake": "A lake",
 }
+
+# Titles that stand in for withdrawn videos, and the tail that descriptions share.
 REJECTED = (("unavailable video", r"(?i)^\s*(?:private|deleted) video\s*$"),)
 BOILERPLATE = r"(?is)\s*(?:This (?:footage|video) is part of|The collection comprises)\b.*$"
 

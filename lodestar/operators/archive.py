@@ -99,14 +99,15 @@ def covered_places(clips: DataFrame, places: DataFrame, least: int = 20) -> Data
     return usable.where(F.col("usable") >= least).join(towns, "place_id").select("place_id", "name", "usable")
 
 
-def home_clips(clips: DataFrame, places: DataFrame, country: str = "India", distant: str = r"(?!)", signal: str = r"(?i)\bindia\b") -> DataFrame:
+def home_clips(clips: DataFrame, places: DataFrame, country: str = "India", distant: str = vocab.DISTANT, signal: str = vocab.HOME_SIGNAL) -> DataFrame:
     """clips with `home`: a placed clip by its place's country (a lost place is not home); an unplaced one is home unless
     its title looks distant, and then only if it holds the home signal or the name of a place at home of five letters."""
     at = places.select(F.col("id").alias("place_id"), "country")
     title = F.col("title")
     far = F.col("place_id").isNull() & F.rlike(title, F.lit(tx.ascii_borders(distant)))
     names = places.where((F.col("country") == country) & (F.length("name") >= 5)).select(F.array_join(tx.words(F.col("name")), " ").alias("phrase")).where("phrase <> ''").distinct()
-    runs = clips.where(far).select("id", tx.words(title).alias("w")).select("id", F.explode(tx.ngrams(F.col("w"), 4)).alias("g")).select("id", F.col("g.phrase").alias("phrase"))
+    most = max(1, names.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1)
+    runs = clips.where(far).select("id", tx.words(title).alias("w")).select("id", F.explode(tx.ngrams(F.col("w"), most)).alias("g")).select("id", F.col("g.phrase").alias("phrase"))
     named = runs.join(names, "phrase", "left_semi").select("id").distinct().withColumn("named", F.lit(True))
     signalled = F.rlike(title, F.lit(tx.ascii_borders(signal))) | F.coalesce("named", F.lit(False))
     home = F.when(F.col("place_id").isNull(), F.when(~far, True).otherwise(signalled)).otherwise(F.coalesce(F.col("country") == country, F.lit(False)))

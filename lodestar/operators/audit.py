@@ -59,9 +59,11 @@ def classify(title: Column, rules: list[tuple[str, str]], ordinary: tuple[str, .
     return F.struct(bucket.alias("bucket"), found.alias("found"))
 
 
-def keyword_counts(texts: DataFrame, keywords: DataFrame, most_words: int = 3) -> DataFrame:
+def keyword_counts(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(keyword, n): rows (id, text) that hold each keyword (keyword) as whole words; 0 for those that none holds."""
-    runs = texts.select("id", tx.words(F.col("text")).alias("w")).select("id", F.explode(tx.ngrams(F.col("w"), most_words)).alias("g"))
+    from lodestar.operators.etl import most_words
+
+    runs = texts.select("id", tx.words(F.col("text")).alias("w")).select("id", F.explode(tx.ngrams(F.col("w"), most_words(keywords, "keyword"))).alias("g"))
     n = runs.select("id", F.col("g.phrase").alias("keyword")).join(keywords, "keyword", "left_semi").distinct().groupBy("keyword").agg(F.count("*").alias("n"))
     return keywords.select("keyword").distinct().join(n, "keyword", "left").fillna(0, ["n"])
 
@@ -77,12 +79,11 @@ def proper_nouns(titles: DataFrame, known: DataFrame, least: int = 3) -> DataFra
     known name (name) is, in at least `least` places."""
     w = titles.select("id", F.split(F.col("title"), r"\s+").alias("w"))
     capital = lambda c: F.rlike(c, F.lit(r"^[A-Z][a-z]{2,}$"))
-    one = F.filter(F.slice("w", 2, 1000), capital)
-    pairs = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(0)) + 0), lambda i: F.when(capital(F.get("w", i)) & capital(F.get("w", i + 1)), F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))),
-        lambda p: p.isNotNull(),
-    )
-    both = F.concat(F.transform(one, lambda p: F.struct(p.alias("phrase"), F.lit(1).alias("words"))), F.transform(F.when(F.size("w") > 2, pairs).otherwise(F.array().cast("array<string>")), lambda p: F.struct(p.alias("phrase"), F.lit(2).alias("words"))))
+    # every word but the first, with its follower
+    later = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i).alias("x"), F.get("w", i + 1).alias("y"))))
+    one = F.transform(F.filter(later, lambda p: capital(p["x"])), lambda p: F.struct(p["x"].alias("phrase"), F.lit(1).alias("words")))
+    two = F.filter(later, lambda p: capital(p["x"]) & F.coalesce(capital(p["y"]), F.lit(False)))
+    both = F.concat(one, F.transform(two, lambda p: F.struct(F.concat_ws(" ", p["x"], p["y"]).alias("phrase"), F.lit(2).alias("words"))))
     found = w.where(F.size("w") > 1).select(F.explode(both).alias("p")).groupBy("p.phrase", "p.words").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return found.join(known.select(F.lower("name").alias("k")).distinct(), F.lower("phrase") == F.col("k"), "left_anti")
 

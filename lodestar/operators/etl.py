@@ -7,37 +7,37 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import text as tx
 from lodestar.functions import vocab
+from lodestar.session import cut
 
 #: What a hashtag is, and the longest text that a clip keeps.
 HASHTAG, MOST_TEXT = r"#[\p{L}\p{N}_]+", 800
 
 
-def zones(description: Column) -> Column:
-    """struct(prose, hashtags, tail): trimmed lines before the first hashtag line, the tags without # in lower case, and the
-    other lines after it. A hashtag line is more than half hashtags by length; blank lines are left out; null is empty."""
-    lines = F.filter(F.transform(F.split(F.coalesce(description, F.lit("")), "\n", -1), tx.js_trim), lambda x: x != "")
-    tagged = F.transform(lines, lambda x: F.struct(x.alias("line"), F.regexp_extract_all(x, F.lit(HASHTAG), 0).alias("tags")))
-    is_tag = lambda s: (F.size(s["tags"]) > 0) & (F.length(F.array_join(s["tags"], "")) > F.length(s["line"]) * 0.5)
-    marked = F.transform(tagged, lambda s: F.struct(s["line"].alias("line"), s["tags"].alias("tags"), is_tag(s).alias("hash")))
-    first = F.array_position(F.transform(marked, lambda s: s["hash"]), True)
-    seen = lambda i: (first > 0) & (i + 1 > first)
-    pick = lambda keep: F.array_join(F.transform(F.filter(marked, keep), lambda s: s["line"]), " ")
-    tags = F.flatten(F.transform(F.filter(marked, lambda s: s["hash"]), lambda s: s["tags"]))
-    return F.struct(
-        pick(lambda s, i: ~s["hash"] & ~seen(i)).alias("prose"),
-        F.transform(tags, lambda t: F.lower(F.substring(t, F.lit(2), F.length(t)))).alias("hashtags"),
-        pick(lambda s, i: ~s["hash"] & seen(i)).alias("tail"),
-    )
-
-
 def first_sentences(prose: Column, n: int = 2) -> Column:
     """The first n sentences, joined by a space."""
     return F.array_join(F.slice(F.split(prose, r"(?<=[.!?])\s+", -1), 1, n), " ")
 
 
 def with_zones(items: DataFrame) -> DataFrame:
-    """items (id, title, description, playlist) with prose, hashtags and tail; the struct is split once."""
-    return items.withColumn("z", zones(F.col("description"))).select("*", "z.prose", "z.hashtags", "z.tail").drop("z")
+    """items (id, title, description, playlist, ...) with prose, hashtags and tail.
+
+    prose holds the trimmed lines before the first hashtag line, hashtags the tags without # in lower case, tail the other
+    lines after it. A hashtag line is more than half hashtags by length; blank lines are left out; null is empty. Lines,
+    marks and the first mark are columns of their own, so each line is trimmed and searched once.
+    """
+    trimmed = F.filter(F.transform(F.split(F.coalesce("description", F.lit("")), "\n", -1), tx.js_trim), lambda x: x != "")
+    tagged = F.transform("__lines", lambda x: F.struct(x.alias("line"), F.when(F.contains(x, F.lit("#")), F.regexp_extract_all(x, F.lit(HASHTAG), 0)).otherwise(F.array().cast("array<string>")).alias("tags")))
+    is_tag = lambda s: (F.size(s["tags"]) > 0) & (F.length(F.array_join(s["tags"], "")) > F.length(s["line"]) * 0.5)
+    staged = items.withColumn("__lines", trimmed).withColumn("__lines", tagged).withColumn("__hash", F.transform("__lines", is_tag))
+    staged = staged.withColumn("__first", F.array_position("__hash", True))
+    n = F.when(F.col("__first") > 0, F.col("__first") - 1).otherwise(F.size("__lines")).cast("int")
+    mark = lambda i: F.get(F.col("__hash"), i)
+    rest = F.filter("__lines", lambda s, i: (F.col("__first") > 0) & (i >= F.col("__first")) & ~mark(i))
+    tags = F.flatten(F.transform(F.filter("__lines", lambda s, i: mark(i)), lambda s: s["tags"]))
+    return staged.select(
+        *[F.col(c) for c in items.columns], F.array_join(F.slice(F.col("__lines.line"), F.lit(1), n), " ").alias("prose"),
+        F.transform(tags, lambda t: F.lower(F.substring(t, F.lit(2), F.length(t)))).alias("hashtags"), F.array_join(F.transform(rest, lambda s: s["line"]), " ").alias("tail"),
+    )
 
 
 def place_names(gazetteer: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -47,7 +47,12 @@ def place_names(gazetteer: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.unionByName(known.select(F.col("place_key").alias("name"), "place_key", "kind", F.concat(F.lit("1"), "place_key").alias("seq")))
 
 
-def place_candidates(zoned: DataFrame, names: DataFrame, most_words: int = 4) -> DataFrame:
+def most_words(phrases: DataFrame, column: str = "phrase") -> int:
+    """How many words the longest phrase of a list has, at least one; the list is small against what is searched by it."""
+    return max(1, phrases.agg(F.max(F.size(tx.words(F.col(column))))).first()[0] or 1)
+
+
+def place_candidates(zoned: DataFrame, names: DataFrame) -> DataFrame:
     """(id, source, place_key, kind, locative, origin, seq): every name found in hashtags, playlist, title and the first
     two sentences of the prose, once a text, with the kind of word before it.
 
@@ -63,7 +68,8 @@ def place_candidates(zoned: DataFrame, names: DataFrame, most_words: int = 4) ->
                       (("playlist", F.col("playlist")), ("title", F.col("title")), ("prose", first_sentences(F.col("prose"))))])
     long = zoned.select("id", F.explode(texts).alias("t")).select("id", "t.source", "t.text")
     long = long.withColumn("w", tx.words(F.col("text")))
-    runs = long.select("id", "source", "text", F.explode(F.array_distinct(F.transform(tx.ngrams(F.col("w"), most_words), lambda g: g["phrase"]))).alias("phrase"))
+    most = most_words(names, "name")
+    runs = long.select("id", "source", "text", F.explode(F.array_distinct(F.transform(tx.ngrams(F.col("w"), most), lambda g: g["phrase"]))).alias("phrase"))
     keyed = names.withColumn("phrase", F.array_join(tx.words(F.col("name")), " ")).where("phrase <> ''")
     met = runs.join(keyed, "phrase")
     pattern = F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.col("name"), F.lit(r"\E(?![a-z0-9_])"))
@@ -90,12 +96,13 @@ def _plain_words(c: Column) -> Column:
     return F.filter(F.split(parted, " "), lambda w: w != "")
 
 
-def subject_scores(zoned: DataFrame, keywords: DataFrame, most_words: int = 3) -> DataFrame:
+def subject_scores(zoned: DataFrame, keywords: DataFrame) -> DataFrame:
     """(id, subject, score): 3 for a keyword in the title, 3 for a tag that holds it, 2 for each of up to 3 in the prose.
 
     keywords has (subject, keyword). The words of a row are counted once and met with the keywords by equality.
     """
-    count = lambda w, z: F.transform(tx.ngrams(F.col(w), most_words), lambda g: F.struct(g["phrase"].alias("keyword"), F.lit(z).alias("zone")))
+    most = most_words(keywords, "keyword")
+    count = lambda w, z: F.transform(tx.ngrams(F.col(w), most), lambda g: F.struct(g["phrase"].alias("keyword"), F.lit(z).alias("zone")))
     worded = zoned.select("id", _plain_words(F.col("title")).alias("wt"), _plain_words(F.col("prose")).alias("wp"))
     found = worded.select("id", F.explode(F.concat(count("wt", "t"), count("wp", "p"))).alias("g")).select("id", "g.keyword", "g.zone")
     met = found.join(keywords, "keyword").groupBy("id", "subject", "keyword").agg(
@@ -104,7 +111,11 @@ def subject_scores(zoned: DataFrame, keywords: DataFrame, most_words: int = 3) -
     worded = met.select("id", "subject", (F.col("t") * 3 + F.least("p", F.lit(3)) * 2).alias("score"))
     tags = zoned.select("id", F.explode("hashtags").alias("tag"))
     squeezed = keywords.select("subject", F.regexp_replace("keyword", r"\s+", "").alias("squeezed"))
-    holds = tags.select("tag").distinct().crossJoin(F.broadcast(squeezed)).where(F.contains("tag", F.col("squeezed")))
+    # a tag that holds a keyword has a run of letters that is one: runs of the keywords' lengths meet them by equality
+    lengths = [r[0] for r in squeezed.select(F.length("squeezed")).where("squeezed <> ''").distinct().collect()]  # at most the longest keyword
+    cut_out = lambda n: F.when(F.length("tag") >= n, F.transform(F.sequence(F.lit(1), F.length("tag") - n + 1), lambda i: F.substring(F.col("tag"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    parts = F.array_distinct(F.concat(F.array().cast("array<string>"), *[cut_out(n) for n in sorted(lengths)]))
+    holds = tags.select("tag").distinct().select("tag", F.explode(parts).alias("squeezed")).join(squeezed, "squeezed")
     holds = holds.groupBy("tag", "subject").agg((F.count("*") * 3).alias("score"))
     tagged = tags.join(holds, "tag").select("id", "subject", "score")
     return worded.unionByName(tagged).groupBy("id", "subject").agg(F.sum("score").alias("score"))
@@ -146,7 +157,7 @@ def fresh_items(log: DataFrame, id_col: Column, tombstones: DataFrame) -> DataFr
 
 def classified(items: DataFrame, gazetteer: DataFrame, aliases: DataFrame, keywords: DataFrame) -> DataFrame:
     """items with prose, rejected, place_id, place_source, subjects and year; nothing is left out yet."""
-    zoned = with_zones(items).withColumn("rejected", rejected_by(F.col("title")))
+    zoned = cut(with_zones(items).withColumn("rejected", rejected_by(F.col("title"))))  # read by places, tags and the result
     open_ = zoned.where("rejected is null")
     place = best_place(place_candidates(open_, place_names(gazetteer, aliases))).select("id", F.col("place_key").alias("place_id"), F.col("source").alias("place_source"))
     tags = subject_tags(subject_scores(open_, keywords))
@@ -241,7 +252,7 @@ def gazetteer_of(states: DataFrame, cities: DataFrame, world: DataFrame) -> Data
 
     The key is the name in lower case with single spaces; a name of the world list that is its country or state is a state.
     """
-    slug = F.regexp_replace(F.lower("name"), r"\s+", " ")
+    slug = F.regexp_replace(F.lower(tx.js_trim(F.col("name"))), r"\s+", " ")
     w_kind = F.when((F.col("name") == F.col("country")) | (F.col("name") == F.col("state")), "state").otherwise("city")
     parts = [(states, F.lit("state"), 0), (cities, F.lit("city"), 1), (world, w_kind, 2)]
     rows = [d.withColumn("kind", k).withColumn("place_key", slug).withColumn("level", F.lit(n)) for d, k, n in parts]

@@ -13,7 +13,6 @@ from lodestar.session import table
 
 #: Titles of unplaced clips that look distant, for this archive.
 DISTANT, SIGNAL = r"(?i)\b(?:dusk|harbour|fog)\b", r"(?i)\bmarket\b"
-ESTABLISHING = ("fort", "temple", "hills", "aerial", "river", "old town", "lake", "coastline")
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +148,7 @@ def place_covers(spark, sf_dir):  # noqa: ANN001, ANN201
     most = clips.where("place_id is not null").groupBy("place_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "place_id").limit(96)
     most = most.withColumn("tile", F.row_number().over(Window.orderBy(F.desc("n"), "place_id"))).select("place_id", "tile")  # at most 96 rows
     top = browse.clips_for_place(clips.join(F.broadcast(most.select("place_id")), "place_id", "left_semi"), 24).join(clips.select("id", "subjects"), "id").join(F.broadcast(most), "place_id")
-    rank = F.array(*[F.lit(s) for s in ESTABLISHING])
+    rank = F.array(*[F.lit(s) for s in vocab.ESTABLISHING])
     worth = F.array_min(F.filter(F.transform("subjects", lambda s: F.array_position(rank, s)), lambda p: p > 0))
     tiles = top.select(F.lit(1).alias("page"), "tile", F.col("rank").alias("at"), "id", worth.cast("double").alias("worth"))
     return browse.greedy_picks(tiles).select("tile", "id")

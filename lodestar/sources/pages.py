@@ -23,8 +23,10 @@ class RecordedPages(DataSource):
     """format("recorded_pages"): one JSON file a page, {nextPageToken?, items: [{id, title, description, publishedAt}]}.
 
     Options: path, the folder of <token>.json with first.json as the start; budget, calls a run may use; playlist, a title
-    put on every row. A stream's offset is the next page's token, so a paused crawl goes on where it stopped. A page
-    {error: quotaExceeded} pauses like a used budget. Pages come from files: there is no network here.
+    put on every row; start, the first page's token. A stream's offset is the next page's token, so a paused crawl goes on
+    where it stopped. A page {error: quotaExceeded} pauses like a used budget. A batch read that has to pause fails with
+    QuotaPaused, so that a short table is never taken for the whole; with partial=true it gives the pages that it came to.
+    Pages come from files: there is no network here.
     """
 
     @classmethod
@@ -61,12 +63,17 @@ class _AllPages(DataSourceReader):
         return [InputPartition(0)]  # a page names the next one
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        token, budget = "first", int(self.options.get("budget", "1000000"))
-        while token and budget > 0:
+        token, budget = self.options.get("start", "first"), int(self.options.get("budget", "1000000"))
+        partial = self.options.get("partial", "false").lower() == "true"
+        while token:
             try:
+                if budget <= 0:
+                    raise QuotaPaused(f"paused before page {token}")
                 page = _page(self.options, token)
             except QuotaPaused:
-                return
+                if partial:
+                    return
+                raise
             yield from _rows(self.options, token, page)
             token, budget = page.get("nextPageToken"), budget - 1
 
