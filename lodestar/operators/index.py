@@ -51,21 +51,29 @@ def warmed(index: Index) -> Index:
     return Index(*(cut(t) for t in (index.docs, index.postings, index.terms, index.stats)))
 
 
-def save(index: Index, path: str, archive_size: int) -> None:
-    """Write the index; postings are ranged and sorted by term, so that a reader of few terms skips row groups."""
+def fingerprint(rows: DataFrame) -> str:
+    """A name of a table's contents: its rows, their number and the sum and xor of their hashes, in one narrow pass."""
+    h = F.xxhash64(*[F.col(c) for c in rows.columns])
+    r = rows.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+    return f"{r.n}-{r.x & (1 << 64) - 1:x}-{int(r.s) & (1 << 64) - 1:x}"
+
+
+def save(index: Index, path: str, archive_size: int | str) -> None:
+    """Write the index; postings are ranged and sorted by term, so that a reader of few terms skips row groups.
+    archive_size is the size or fingerprint of the archive."""
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
     index.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    marked = index.stats.withColumn("version", F.lit(VERSION)).withColumn("archive_size", F.lit(archive_size).cast("long"))
+    marked = index.stats.withColumn("version", F.lit(VERSION)).withColumn("archive_size", F.lit(str(archive_size)))
     marked.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")  # last: an index without it does not count
 
 
-def load(spark: SparkSession, path: str, archive_size: int) -> Index | None:
+def load(spark: SparkSession, path: str, archive_size: int | str) -> Index | None:
     """The written index, or None if it is absent, of another version, of another archive or unreadable."""
     try:
         stats = spark.read.parquet(f"{path}/stats")
         row = stats.first()
-        if row is None or row.version != VERSION or row.archive_size != archive_size:
+        if row is None or row.version != VERSION or row.archive_size != str(archive_size):
             return None
         docs, postings, terms = (spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "terms"))
         return Index(docs, postings, terms, stats.drop("version", "archive_size"))
@@ -86,6 +94,23 @@ def open_or_build(spark: SparkSession, path: str, clips: DataFrame) -> Index:
     return found
 
 
+def opened(raw: DataFrame, clips_of_raw, folder: str) -> tuple[Index, DataFrame]:  # noqa: ANN001
+    """(index, clips) of the raw archive rows, both written under `folder` by their fingerprint and read back.
+
+    The first call builds: clips_of_raw(raw) gives the clips. Later calls, of any session, scan the raw rows once for the
+    fingerprint and open the files. Index files without their last part do not count, so a broken build is done again.
+    """
+    spark, mark = raw.sparkSession, fingerprint(raw)
+    path = f"{folder}/lodestar-index/{mark}"
+    found = load(spark, path, mark)
+    if found is None:
+        clips_of_raw(raw).write.mode("overwrite").parquet(f"{path}/clips")
+        save(build(spark.read.parquet(f"{path}/clips")), path, mark)
+        found = load(spark, path, mark)
+        assert found is not None
+    return found, spark.read.parquet(f"{path}/clips")
+
+
 def idf(df: Column, n_docs: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 

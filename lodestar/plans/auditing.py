@@ -8,7 +8,7 @@ from lodestar.functions import text as tx
 from lodestar.functions import vocab
 from lodestar.operators import audit, dedupe, etl, index, search
 from lodestar.plans.ingest import _names
-from lodestar.plans.text_search import _ARCH, _batch, _clips
+from lodestar.plans.text_search import _ARCH, _batch, _clips, _opened
 from lodestar.session import table
 
 RULES = [("numbered", r"(?i)\b(?:part|take) \d+\b"), ("camera", r"(?i)\b(?:shot|pan|view|frame|close-up|time-lapse)\b"), ("animals", r"(?i)\b(?:goats?|egrets?|bulbuls?|otters?)\b")]
@@ -116,8 +116,8 @@ def fallback_checks(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def precision_at_k(spark, sf_dir):  # noqa: ANN001, ANN201
-    clips = _clips(spark, sf_dir)
-    ranked = search.search(_batch(spark), index.build(clips), clips, 20, demote=False, phrases=False)
+    built, clips = _opened(spark, sf_dir)
+    ranked = search.search(_batch(spark), built, clips, 20, demote=False, phrases=False)
     return audit.precision_at(spark, ranked, clips, JUDGED)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as tx
 from lodestar.functions import vocab
 from lodestar.operators import archive, browse, index, search
-from lodestar.plans.text_search import _ARCH, _INDEX, _PLAIN, _batch, _clips
+from lodestar.plans.text_search import _ARCH, _batch, _clips, _INDEX, _opened, _PLAIN
 from lodestar.session import table
 
 #: Titles of unplaced clips that look distant, for this archive.
@@ -24,8 +24,8 @@ def _home(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = _clips(spark, sf_dir)
-    return search.matched(_batch(spark), index.build(clips), clips, demote=False)
+    built, clips = _opened(spark, sf_dir)
+    return search.matched(_batch(spark), built, clips, demote=False)
 
 
 def dedupe_first(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -82,9 +82,9 @@ def clips_for_place(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def related_clips(spark, sf_dir):  # noqa: ANN001, ANN201
     """Seeds are the clips whose id hashes to two given digits, against all clips."""
-    clips = _clips(spark, sf_dir)
+    built, clips = _opened(spark, sf_dir)
     seeds = clips.where(F.substring(F.md5("id"), 1, 2).isin("00", "01", "02"))
-    return browse.related(seeds, clips, index.build(clips))
+    return browse.related(seeds, clips, built)
 
 
 def facets_subject(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -156,16 +156,16 @@ def place_covers(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def rails(spark, sf_dir):  # noqa: ANN001, ANN201
     """Rows of up to twelve search hits, none shown twice on the page."""
-    clips = _clips(spark, sf_dir)
-    found = search.search(_batch(spark), index.build(clips), clips, 60)
+    built, clips = _opened(spark, sf_dir)
+    found = search.search(_batch(spark), built, clips, 60)
     tiles = found.select(F.lit(1).alias("page"), F.col("query_id").alias("tile"), F.col("rank").alias("at"), "id", F.lit(None).cast("double").alias("worth"))
     return browse.greedy_picks(tiles, 12).select("tile", "slot", "id")
 
 
 def backdrop(spark, sf_dir):  # noqa: ANN001, ANN201
     """The first hit of every query."""
-    clips = _clips(spark, sf_dir)
-    return search.search(_batch(spark), index.build(clips), clips, 1).select("query_id", "id")
+    built, clips = _opened(spark, sf_dir)
+    return search.search(_batch(spark), built, clips, 1).select("query_id", "id")
 
 
 _PL = """pl AS (SELECT place_id AS id, place_name AS name, district, state_name AS state, coalesce(country, 'India') AS country, region, terrain, lat, lng FROM places

@@ -9,7 +9,7 @@ from lodestar.functions import text as tx
 from lodestar.functions import vocab
 from lodestar.operators import index, interpret, recommend, search
 from lodestar.plans.browsing import _HOME, _PL, _home, _places
-from lodestar.plans.text_search import _ARCH, _clips
+from lodestar.plans.text_search import _ARCH, _clips, _opened
 from lodestar.session import cut, table
 
 # (user, question, kind, answer, implied subjects, context subjects, context words, context stop words)
@@ -96,9 +96,9 @@ def subject_tally(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def text_boost(spark, sf_dir):  # noqa: ANN001, ANN201
-    clips = _clips(spark, sf_dir)
+    built, clips = _opened(spark, sf_dir)
     terms = spark.createDataFrame([(1, "wooden toys"), (1, "potters"), (2, "betel leaves")], "user_id int, term string")
-    return recommend.text_boosts(terms, index.build(clips), clips)
+    return recommend.text_boosts(terms, built, clips)
 
 
 def context_filter(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -109,8 +109,8 @@ def context_filter(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def rank_by_answer(spark, sf_dir):  # noqa: ANN001, ANN201
     """Clips by the summed rarity of two words in their titles; the ten best."""
-    clips = _clips(spark, sf_dir)
-    rare = index.term_rarity(spark.createDataFrame([("potters",), ("dusk",)], "phrase string"), index.build(clips))
+    built, clips = _opened(spark, sf_dir)
+    rare = index.term_rarity(spark.createDataFrame([("potters",), ("dusk",)], "phrase string"), built)
     weights = rare.agg(F.sort_array(F.collect_list(F.struct(F.col("phrase").alias("word"), "rarity"))).alias("weights"))
     scored = clips.select("id", "title").crossJoin(F.broadcast(weights)).select("id", "title", recommend.answer_score(F.col("title"), F.col("weights")).alias("score"))
     return scored.orderBy(F.desc("score"), F.length("title"), "id").limit(10).select("id", "score")
@@ -145,8 +145,9 @@ def _asks(spark, sf_dir):  # noqa: ANN001, ANN202
 
 def feed(spark, sf_dir):  # noqa: ANN001, ANN201
     """Five clips for each answer of each user, with the reason."""
-    clips, home, places = cut(_clips(spark, sf_dir)), cut(_home(spark, sf_dir)), cut(_places(spark, sf_dir))
-    asks, built, protected = _asks(spark, sf_dir), index.warmed(index.build(clips)), search.protected_words(_places(spark, sf_dir))
+    built, clips = _opened(spark, sf_dir)
+    home, places = cut(_home(spark, sf_dir)), cut(_places(spark, sf_dir))
+    asks, protected = _asks(spark, sf_dir), search.protected_words(_places(spark, sf_dir))
     asks = cut(asks)
     questions = asks.groupBy("user_id").agg(F.countDistinct("at").alias("n")).agg(F.max("n").alias("n")).first().n or 1
     found = recommend.candidates(asks, built, home, places, protected, search.variants(spark), questions=questions)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as tx
 from lodestar.functions import vocab
 from lodestar.operators import archive, index, search
-from lodestar.session import table
+from lodestar.session import checkpoint_dir, shared_folder, table
 
 #: A batch of searches; some are misspelt, over-specified, common or empty.
 BATCH = [
@@ -18,10 +18,25 @@ BATCH = [
 ]
 
 
+def _opened(spark: SparkSession, sf_dir: str) -> tuple[index.Index, DataFrame]:
+    """The written index of the archive and its clips, built if they are not there."""
+    return index.opened(table(spark, sf_dir, "clips"), lambda raw: archive.first_clips(archive.clips_of(raw)), shared_folder(spark))
+
+
 def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.first_clips(archive.clips_of(table(spark, sf_dir, "clips")))
 
 
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index built from the raw archive, written, and read back: its statistics."""
+    folder = f"{checkpoint_dir(spark)}/built"
+    index.save(index.build(_clips(spark, sf_dir)), folder, "built")
+    found = index.load(spark, folder, "built")
+    assert found is not None and index.load(spark, folder, "another") is None
+    counts = found.postings.agg(F.count("*").alias("read_postings"), F.sum("tf").alias("read_tf"))
+    return found.stats.select("n_docs", "n_terms", "n_postings").crossJoin(counts).crossJoin(found.terms.agg(F.sum("cf").alias("read_cf")))
+
+
 def _batch(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BATCH, "query_id int, query string")
 
@@ -54,22 +69,22 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = _batch(spark).select(F.col("query").alias("phrase"))
-    return index.term_rarity(phrases, index.build(_clips(spark, sf_dir))).select("phrase", F.round("rarity", 6).alias("rarity"))
+    return index.term_rarity(phrases, _opened(spark, sf_dir)[0]).select("phrase", F.round("rarity", 6).alias("rarity"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain ranking: no repair, spellings, demotion or phrases."""
-    clips = _clips(spark, sf_dir)
-    return search.search(_batch(spark), index.build(clips), clips, 20, demote=False, phrases=False)
+    built, clips = _opened(spark, sf_dir)
+    return search.search(_batch(spark), built, clips, 20, demote=False, phrases=False)
 
 
 def bm25_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = _clips(spark, sf_dir)
-    return search.search(_batch(spark), index.build(clips), clips, 20, spellings=search.variants(spark), demote=False, phrases=False)
+    built, clips = _opened(spark, sf_dir)
+    return search.search(_batch(spark), built, clips, 20, spellings=search.variants(spark), demote=False, phrases=False)
 
 
 def spell_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = index.build(_clips(spark, sf_dir))
+    built = _opened(spark, sf_dir)[0]
     protected = search.protected_words(archive.places_of(table(spark, sf_dir, "places")))
     typed = spark.createDataFrame([(w,) for w in TYPED], "term string")
     return search.repairs(typed, built.terms, protected)
@@ -87,13 +102,13 @@ def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def required_relaxation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents each query keeps and the fewest terms that one of them satisfies."""
     terms = search.query_terms(_batch(spark))
-    found = search.relaxed(search.scores(terms, index.build(_clips(spark, sf_dir)), None), terms)
+    found = search.relaxed(search.scores(terms, _opened(spark, sf_dir)[0], None), terms)
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("matches").alias("least"))
 
 
 def phrase_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = _clips(spark, sf_dir)
-    return search.search(_batch(spark), index.build(clips), clips, 20, demote=False)
+    built, clips = _opened(spark, sf_dir)
+    return search.search(_batch(spark), built, clips, 20, demote=False)
 
 
 def talking_head_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,12 +126,12 @@ SPEAKING_PROBES = [
 def talking_head_demote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries whose people speaking to the camera would be moved down."""
     batch = _batch(spark)
-    return search.demoted_queries(batch, search.query_terms(batch), index.build(_clips(spark, sf_dir)))
+    return search.demoted_queries(batch, search.query_terms(batch), _opened(spark, sf_dir)[0])
 
 
 def count_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clips = _clips(spark, sf_dir)
-    return search.count_matches(_batch(spark), index.build(clips), clips)
+    built, clips = _opened(spark, sf_dir)
+    return search.count_matches(_batch(spark), built, clips)
 
 
 def collision_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +144,9 @@ def collision_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search as a user meets it: repair, spellings, relaxation, demotion, phrases, collisions."""
-    clips = _clips(spark, sf_dir)
+    built, clips = _opened(spark, sf_dir)
     protected = search.protected_words(archive.places_of(table(spark, sf_dir, "places")))
-    return search.search(_batch(spark), index.build(clips), clips, 60, protected, search.variants(spark))
+    return search.search(_batch(spark), built, clips, 60, protected, search.variants(spark))
 
 
 _ARCH = """arch AS (SELECT clip_id AS id, coalesce(title, '') AS title, coalesce(text, '') AS text, place_id, coalesce(subjects, []) AS subjects,
@@ -181,13 +196,15 @@ _PROBES = ", ".join(f"({i}, '{t}')" for i, t in SPEAKING_PROBES)
 QUERIES = {
     f.__name__: f
     for f in (
-        tokens_per_doc, stem_table, term_df, doc_lengths, postings, index_stats, term_rarity, bm25_topk, bm25_synonyms, spell_repair, match_counts,
+        index_build, tokens_per_doc, stem_table, term_df, doc_lengths, postings, index_stats, term_rarity, bm25_topk, bm25_synonyms, spell_repair, match_counts,
         required_relaxation, phrase_promotion, talking_head_titles, talking_head_demote, count_matches, collision_filter, search_full,
     )
 }
 SQL = {
     "tokens_per_doc": f"WITH {_ARCH} SELECT id, len({tx.sql_tokens('title')})::INTEGER AS in_title, len({tx.sql_tokens('text')})::INTEGER AS in_text FROM arch",
     "stem_table": f"WITH {_ARCH}, w AS (SELECT DISTINCT unnest({tx.sql_content(chr(39).join(['title || ', ' ', ' || text']))}) AS word FROM arch) SELECT word, {tx.sql_stem('word')} AS stem FROM w",
+    "index_build": f"""WITH {_INDEX} SELECT n_docs, (SELECT count(*) FROM terms) AS n_terms, (SELECT count(*) FROM post) AS n_postings, (SELECT count(*) FROM post) AS read_postings,
+(SELECT sum(least(tf, 65535))::BIGINT FROM post) AS read_tf, (SELECT sum(cf)::BIGINT FROM terms) AS read_cf FROM stats""",
     "term_df": f"WITH {_INDEX} SELECT term, df, cf FROM terms",
     "doc_lengths": f"WITH {_INDEX} SELECT id, len FROM docs",
     "postings": f"WITH {_INDEX} SELECT term, id, least(tf, 65535)::INTEGER AS tf FROM post",

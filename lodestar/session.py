@@ -56,18 +56,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where that is unset, a temporary one."""
-    sc = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset and all runs on
+    this machine. On a cluster without it there is no safe place, so RuntimeError."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "lodestar-checkpoints"))
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "lodestar-checkpoints")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """This session's own folder under the shared one, where cut() writes."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(spark))
+        # what a session has cut is of no use to another
+        atexit.register(_remove, spark, sc._jsc.sc().getCheckpointDir().get())
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001, S110  the session may have ended with the folder
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder and go on from the files.
 
