@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -59,6 +60,45 @@ def classify(title: Column, rules: list[tuple[str, str]], ordinary: tuple[str, .
     return F.struct(bucket.alias("bucket"), found.alias("found"))
 
 
+def _named(title: Column, words: tuple[str, ...], tail: str = "") -> Column:
+    """The first of the words, in their order, that the title holds whole, case aside; null without one."""
+    hit = lambda w: F.rlike(title, F.lit(tx.ascii_borders(rf"(?i)\b{re.escape(w)}{tail}\b")))
+    return F.coalesce(*[F.when(hit(w), F.lit(w)) for w in words], F.lit(None).cast("string"))
+
+
+def classify_whole(
+    title: Column, refused: tuple[str, ...], formats: tuple[str, ...], figures: tuple[str, ...], abroad: tuple[str, ...], regions: tuple[str, ...],
+    festivals: tuple[str, ...], kinds: tuple[str, ...], ordinary: tuple[str, ...],
+) -> Column:
+    """struct(bucket, found) of a title in seven buckets.
+
+    Lists are tried on the whole title before single words are: refused titles and formats give 'reject', figures
+    'ambiguous', places abroad 'gap-2b', regions 'region', festivals 'festival'. Then the first capitalised word behind the
+    first, no ordinary word and no kind of thing (in the singular or plural), gives 'gap-2a'. What is left is 'subject' if
+    it names a kind or has no capitalised word, else 'ambiguous'.
+    """
+    lists = (("reject", refused), ("reject", formats), ("ambiguous", figures), ("gap-2b", abroad), ("region", regions), ("festival", festivals))
+    lower = lambda words: [w.lower() for w in words]
+    words = F.split(title, r"[^\p{L}\p{N}'’-]+", -1)
+    capital = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.rlike(w, F.lit(r"^[A-Z][a-z']{2,}$")))
+    kind = lambda w: w.isin(*lower(kinds)) | F.regexp_replace(w, "s$", "").isin(*lower(kinds)) | F.regexp_replace(w, "es$", "").isin(*lower(kinds))
+    place = F.get(F.filter(capital, lambda w: ~F.lower(w).isin(*lower(ordinary)) & ~kind(F.lower(w))), F.lit(0))
+    thing = _named(title, kinds, "(?:s|es)?")
+    steps = [(bucket, _named(title, own)) for bucket, own in lists if own] + [("gap-2a", place), ("subject", thing)]
+    bucket, found = F.when(F.size(capital) == 0, "subject").otherwise("ambiguous"), F.lit(None).cast("string")
+    for name, hit in reversed(steps):
+        bucket, found = F.when(hit.isNotNull(), name).otherwise(bucket), F.coalesce(hit, found)
+    return F.struct(bucket.alias("bucket"), found.alias("found"))
+
+
+def disagreements(found: DataFrame, one: str = "title", other: str = "playlist") -> DataFrame:
+    """(id, one, other): rows whose best place (found: candidates of places) in one zone is another than in the other."""
+    from lodestar.operators.etl import best_place
+
+    a, b = (best_place(found.where(F.col("source") == z)).select("id", F.col("place_key").alias(k)) for z, k in ((one, "one"), (other, "other")))
+    return a.join(b, "id").where("one <> other")
+
+
 def keyword_counts(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(keyword, n): rows (id, text) that hold each keyword (keyword) as whole words; 0 for those that none holds."""
     from lodestar.operators.etl import most_words

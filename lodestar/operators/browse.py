@@ -102,12 +102,47 @@ def elsewhere(covered: DataFrame, place_id: str, most: int = 12) -> DataFrame:
     return covered.where(F.col("place_id") != place_id).orderBy(F.desc("usable"), "place_id").limit(most)
 
 
+def other_subjects(counts: DataFrame, subject: str, most: int = 12) -> DataFrame:
+    """(subject, n): the other subjects of subject_counts, the commonest first."""
+    return counts.where(F.col("subject") != subject).orderBy("rank").limit(most).select("subject", "n")
+
+
 def places_by_country(places: DataFrame, home: str = "India") -> DataFrame:
     """(country, n, rank): countries by number of places, home first."""
     n = places.groupBy("country").agg(F.count("*").alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.orderBy(F.col("country") != home, F.desc("n"), "country")))  # one row a country
 
 
+def country_lists(covered: DataFrame, places: DataFrame, home: str = "India") -> DataFrame:
+    """(country, country_rank, at, place_id, usable): the covered places of each country, most usable first; countries as in
+    places_by_country. Rows instead of one list a country, so a country may have any number of places."""
+    own = covered.join(places.select(F.col("id").alias("place_id"), "country"), "place_id")
+    ranks = places_by_country(own, home).select("country", F.col("rank").alias("country_rank"))
+    at = F.row_number().over(Window.partitionBy("country").orderBy(F.desc("usable"), "place_id"))
+    return own.withColumn("at", at).join(ranks, "country").select("country", "country_rank", "at", "place_id", "usable")
+
+
+def subject_candidates(clips: DataFrame, subjects: tuple[str, ...] = vocab.SUBJECTS, most: int = 60) -> DataFrame:
+    """(subject, rank, id, worth): the first clips (with `home`) of each subject, those at home first; worth is 0 if the
+    title holds a word of the subject in the singular, else null: what greedy_picks needs to choose covers."""
+    own = clips.select("id", "title", "home", F.explode("subjects").alias("subject")).where(F.col("subject").isin(*subjects))
+    order = Window.partitionBy("subject").orderBy(F.when(F.col("home"), 0).otherwise(1), "id")
+    first = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    stems = F.filter(F.transform(F.split("subject", r"\s+"), lambda w: F.regexp_replace(w, "s$", "")), lambda w: F.length(w) > 2)
+    shown = F.exists(stems, lambda w: F.contains(F.lower("title"), w))
+    return first.select("subject", "rank", "id", F.when(shown, 0.0).alias("worth"))
+
+
+def more_like(seeds: DataFrame, clips: DataFrame, most: int = 8, searched: int = 20) -> DataFrame:
+    """(seed, rank, id): of the first `searched` clips (with `home`) of each seed's first subject, those at home first, the
+    first `most` others. A subject's first clips are worked out once for all seeds."""
+    own = clips.select("id", "home", F.explode("subjects").alias("subject"))
+    order = Window.partitionBy("subject").orderBy(F.when(F.col("home"), 0).otherwise(1), "id")
+    first = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= searched)
+    met = seeds.select(F.col("id").alias("seed"), F.get("subjects", F.lit(0)).alias("subject")).join(first, "subject").where("seed <> id")
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("rank"))).where(F.col("rank") <= most).select("seed", "rank", "id")
+
+
 def suggestion_vocabulary(places: DataFrame, aliases: DataFrame, home: str = "India") -> DataFrame:
     """(word): names and states of places at home, and aliases with a capital, each once."""
     own = places.where(F.col("country") == home)

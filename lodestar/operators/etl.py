@@ -238,7 +238,7 @@ def export_ids(rows: DataFrame, known: DataFrame) -> dict[str, DataFrame]:
 
     ids: (id, title, n) of the first row of each; counts: one row of rows, bad and duplicates; missing: ids not known.
     """
-    own = F.when(F.rlike("id", F.lit(r"^[A-Za-z0-9_-]{11}$")), F.col("id"))
+    own = F.when(F.rlike("id", F.lit(r"\A[A-Za-z0-9_-]{11}\z")), F.col("id"))
     linked = F.nullif(F.regexp_extract("link", r"(?:v=|youtu\.be/|/shorts/|/video/)([A-Za-z0-9_-]{11})(?![A-Za-z0-9_-])", 1), F.lit(""))
     parsed = rows.withColumn("found", F.coalesce(own, linked))
     first = parsed.where("found is not null").groupBy("found").agg(F.min_by(F.struct("title", "n"), "n").alias("r")).select(F.col("found").alias("id"), "r.title", "r.n")
@@ -258,7 +258,9 @@ def gazetteer_of(states: DataFrame, cities: DataFrame, world: DataFrame) -> Data
     rows = [d.withColumn("kind", k).withColumn("place_key", slug).withColumn("level", F.lit(n)) for d, k, n in parts]
     both = rows[0].unionByName(rows[1]).unionByName(rows[2])
     rest = [c for c in both.columns if c not in ("place_key", "level")]
-    best = both.groupBy("place_key").agg(F.max_by(F.struct(*rest), F.struct("level", F.xxhash64(*rest))).alias("r"))
+    # two entries of one list: the greater by its columns
+    order = ["level", *[F.coalesce(c, F.lit("")) for c in ("name", "state", "district", "terrain", "region", "country")], *[F.coalesce(c, F.lit(-999.0)) for c in ("lat", "lng")]]
+    best = both.groupBy("place_key").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
     return best.select("place_key", *[F.col("r")[c].alias(c) for c in rest])
 
 

@@ -142,7 +142,7 @@ def not_colliding(found: DataFrame, rules: tuple[tuple[str, str], ...] = vocab.C
 
 def search(
     queries: DataFrame, index: Index, clips: DataFrame, limit: int = 60, protected: DataFrame | None = None,
-    spellings: DataFrame | None = None, demote: bool = True, phrases: bool = True,
+    spellings: DataFrame | None = None, demote: bool = True, phrases: bool = True, rules: tuple[tuple[str, str], ...] = vocab.COLLISIONS,
 ) -> DataFrame:
     """(query_id, rank, id, score): the best `limit` documents of each (query_id, query), by score, then id.
 
@@ -150,7 +150,7 @@ def search(
     clips (id, title, text) must have unique ids.
     """
     # rules meet one-word queries only, which have no phrases: leaving rows out before the cut is leaving them out of all hits
-    found = not_colliding(matched(queries, index, clips, protected, spellings, demote))
+    found = not_colliding(matched(queries, index, clips, protected, spellings, demote), rules)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     top = found.withColumn("base", F.row_number().over(order)).where(F.col("base") <= max(limit, WINDOW) + (WINDOW if phrases else 0))
     if phrases:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as tx
 from lodestar.functions import vocab
 from lodestar.operators import archive, browse, index, search
-from lodestar.plans.text_search import _ARCH, _batch, _clips, _INDEX, _opened, _PLAIN
+from lodestar.plans.text_search import _ARCH, _INDEX, _PLAIN, BATCH, _batch, _clips, _opened, full_sql
 from lodestar.session import table
 
 #: Titles of unplaced clips that look distant, for this archive.
@@ -54,9 +54,10 @@ def covered_places(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def ordered_lookup(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Ids of each upload batch, looked up in order, misses left out."""
-    lists = _clips(spark, sf_dir).groupBy(F.substring("uploaded_at", 1, 7).alias("list_id")).agg(F.sort_array(F.collect_list("id"), asc=False).alias("ids"))
-    lists = lists.where("list_id is not null").withColumn("ids", F.concat(F.array(F.lit("missing")), "ids"))
+    """Lists of a visitor, each the first fifty ids of an upload month from the last, looked up in order, misses left out."""
+    months = _clips(spark, sf_dir).select(F.substring("uploaded_at", 1, 7).alias("list_id"), "id").where("list_id is not null")
+    months = months.withColumn("n", F.row_number().over(Window.partitionBy("list_id").orderBy(F.desc("id")))).where("n <= 50")
+    lists = months.groupBy("list_id").agg(F.sort_array(F.collect_list("id"), asc=False).alias("ids")).withColumn("ids", F.concat(F.array(F.lit("missing")), "ids"))
     return archive.lookup(lists, _clips(spark, sf_dir).select("id", "title")).select("list_id", F.col("at").cast("int").alias("pos"), "id", "title")
 
 
@@ -142,6 +143,15 @@ def autocomplete(spark, sf_dir):  # noqa: ANN001, ANN201
     return browse.autocomplete(typed, suggestion_vocabulary(spark, sf_dir))
 
 
+def other_subjects(spark, sf_dir):  # noqa: ANN001, ANN201
+    return browse.other_subjects(browse.subject_counts(_clips(spark, sf_dir)), "boats")
+
+
+def country_lists(spark, sf_dir):  # noqa: ANN001, ANN201
+    places = _places(spark, sf_dir)
+    return browse.country_lists(archive.covered_places(_clips(spark, sf_dir), places, 1), places)
+
+
 def place_covers(spark, sf_dir):  # noqa: ANN001, ANN201
     """One clip for the tile of each of the 96 places with the most clips, the best establishing subject first, none twice."""
     clips = _clips(spark, sf_dir)
@@ -154,14 +164,31 @@ def place_covers(spark, sf_dir):  # noqa: ANN001, ANN201
     return browse.greedy_picks(tiles).select("tile", "id")
 
 
+def subject_covers(spark, sf_dir):  # noqa: ANN001, ANN201
+    """One clip for the tile of each subject, one whose title shows it if there is one, none twice."""
+    tile = F.array_position(F.array(*[F.lit(s) for s in vocab.SUBJECTS]), F.col("subject")).cast("int")
+    tiles = browse.subject_candidates(_home(spark, sf_dir)).select(F.lit(1).alias("page"), tile.alias("tile"), F.col("rank").alias("at"), "id", "worth")
+    return browse.greedy_picks(tiles).select("tile", "id")
+
+
 def rails(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Rows of up to twelve search hits, none shown twice on the page."""
+    """Rows of up to twelve search hits at home, none shown twice on the page."""
     built, clips = _opened(spark, sf_dir)
-    found = search.search(_batch(spark), built, clips, 60)
+    home = _home(spark, sf_dir).where("home").select("id")
+    found = search.search(_batch(spark), built, clips, 60).join(home, "id", "left_semi")
     tiles = found.select(F.lit(1).alias("page"), F.col("query_id").alias("tile"), F.col("rank").alias("at"), "id", F.lit(None).cast("double").alias("worth"))
     return browse.greedy_picks(tiles, 12).select("tile", "slot", "id")
 
 
+def watch_page(spark, sf_dir):  # noqa: ANN001, ANN201
+    """What stands beside a clip: eight related ones and eight more of its first subject; for the seeds of related_clips.
+    The row of picks for the visitor is that of feed without the clip itself."""
+    built, clips = _opened(spark, sf_dir)
+    seeds = clips.where(F.substring(F.md5("id"), 1, 2).isin("00", "01", "02"))
+    near = browse.related(seeds, clips, built, 8).select("seed", F.lit("next").alias("rail"), "rank", "id")
+    return near.unionByName(browse.more_like(seeds, _home(spark, sf_dir)).select("seed", F.lit("more").alias("rail"), "rank", "id"))
+
+
 def backdrop(spark, sf_dir):  # noqa: ANN001, ANN201
     """The first hit of every query."""
     built, clips = _opened(spark, sf_dir)
@@ -179,10 +206,16 @@ _KEPT = f"{_PLAIN}, kx AS (SELECT kept.*, subjects, place_id FROM kept JOIN arch
 _SPEAK = tx.sql_any("title", vocab.SPEAKING)
 _VOCAB = "place_names AS (SELECT name AS word FROM pl WHERE country = 'India' UNION SELECT state FROM pl WHERE country = 'India' UNION SELECT upper(alias[1]) || alias[2:] FROM place_aliases)"
 
+# picks tile after tile: the least worth among candidates (tile, pos, id, worth) not used yet, else the first of them, else the first
+_GREEDY_ONE = """l AS (SELECT tile, list(id ORDER BY worth, pos) FILTER (worth IS NOT NULL) AS w, list(id ORDER BY pos) AS a FROM o GROUP BY 1),
+g(tile, used, id) AS (SELECT 0, []::VARCHAR[], NULL::VARCHAR UNION ALL
+  SELECT p.tile, list_append(p.used, p.id), p.id FROM (SELECT l.tile, used, coalesce(list_filter(w, lambda x: NOT list_contains(used, x))[1], list_filter(a, lambda x: NOT list_contains(used, x))[1], a[1]) AS id
+    FROM g JOIN l ON l.tile = g.tile + 1) p)"""
+
 _NAMES = (
     dedupe_first, duplicate_count, integrity_violations, coverage_map, clips_by_place, covered_places, ordered_lookup, home_flags, home_first_page,
     subject_page, subject_counts, clips_for_place, related_clips, facets_subject, facets_place, facet_filter, paging_clamp, hero_paging, place_profile,
-    elsewhere, places_by_country, suggestion_vocabulary, autocomplete, place_covers, rails, backdrop,
+    elsewhere, other_subjects, places_by_country, country_lists, suggestion_vocabulary, autocomplete, place_covers, subject_covers, rails, watch_page, backdrop,
 )
 QUERIES = {f.__name__: f for f in _NAMES}
 SQL = {
@@ -196,7 +229,7 @@ UNION ALL SELECT id, 'placeholder' FROM arch WHERE is_placeholder AND NOT starts
     "covered_places": f"""WITH {_ARCH}, {_PL} SELECT place_id, name, count(*) FILTER (len(subjects) > 0) AS usable FROM arch JOIN pl ON pl.id = arch.place_id
 WHERE name <> state GROUP BY 1, 2 HAVING usable >= 2""",
     "ordered_lookup": f"""WITH {_ARCH} SELECT left(uploaded_at, 7) AS list_id, row_number() OVER (PARTITION BY left(uploaded_at, 7) ORDER BY id DESC)::INTEGER AS pos, id, title
-FROM arch WHERE uploaded_at IS NOT NULL""",
+FROM arch WHERE uploaded_at IS NOT NULL QUALIFY pos <= 50""",
     "home_flags": f"WITH {_HOME} SELECT id, home FROM hm",
     "home_first_page": f"WITH {_HOME} SELECT id, home FROM hm ORDER BY home DESC, id LIMIT 50 OFFSET 50",
     "subject_page": f"WITH {_HOME}, o AS (SELECT id, home FROM hm WHERE list_contains(subjects, 'boats')) SELECT id, home, (SELECT count(*) FROM o) AS total FROM o ORDER BY home DESC, id LIMIT 12 OFFSET 6",
@@ -232,6 +265,29 @@ SELECT place_id, usable FROM c WHERE place_id <> 'kasravipara-yard-1' ORDER BY u
     "autocomplete": f"""WITH {_PL}, {_VOCAB}, t AS (SELECT * FROM (VALUES {', '.join(f"('{p}')" for p in TYPED_STARTS)}) v(typed))
 SELECT typed, row_number() OVER (PARTITION BY typed ORDER BY CASE WHEN starts_with(lower(word), lower(typed)) THEN 0 ELSE 1 END, word)::INTEGER AS rank, word
 FROM place_names, t WHERE length(typed) >= 2 AND contains(lower(word), lower(typed)) AND lower(word) <> lower(typed) QUALIFY rank <= 6""",
-    "backdrop": None,
+    "backdrop": f"WITH {full_sql(BATCH, 1)} SELECT query_id, id FROM ranked",
+    "other_subjects": f"""WITH {_ARCH}, s AS (SELECT unnest(subjects) AS subject FROM arch), n AS (SELECT subject, count(*) AS n FROM s WHERE subject IN ({tx.sql_list(vocab.SUBJECTS)}) GROUP BY 1)
+SELECT subject, n FROM n WHERE subject <> 'boats' ORDER BY n DESC, list_position([{tx.sql_list(vocab.SUBJECTS)}], subject) LIMIT 12""",
+    "country_lists": f"""WITH {_ARCH}, {_PL}, c AS (SELECT place_id, country, count(*) FILTER (len(subjects) > 0) AS usable FROM arch JOIN pl ON pl.id = arch.place_id WHERE name <> state GROUP BY 1, 2 HAVING usable >= 1),
+n AS (SELECT country, row_number() OVER (ORDER BY country <> 'India', count(*) DESC, country)::INTEGER AS country_rank FROM c GROUP BY 1)
+SELECT country, country_rank, row_number() OVER (PARTITION BY country ORDER BY usable DESC, place_id)::INTEGER AS at, place_id, usable FROM c JOIN n USING (country)""",
+    "place_covers": f"""WITH RECURSIVE {_ARCH}, m AS (SELECT place_id, row_number() OVER (ORDER BY count(*) DESC, place_id)::INTEGER AS tile FROM arch WHERE place_id IS NOT NULL GROUP BY 1 QUALIFY tile <= 96),
+o AS (SELECT tile, id, row_number() OVER (PARTITION BY tile ORDER BY {_SPEAK}::INTEGER, length(title) DESC, id) AS pos,
+  list_min(list_filter(list_transform(subjects, lambda x: list_position([{tx.sql_list(vocab.ESTABLISHING)}], x)), lambda p: p > 0)) AS worth FROM arch JOIN m ON m.place_id = arch.place_id QUALIFY pos <= 24),
+{_GREEDY_ONE} SELECT tile, id FROM g WHERE tile > 0""",
+    "subject_covers": f"""WITH RECURSIVE {_HOME}, u AS (SELECT id, title, home, unnest(subjects) AS s FROM hm),
+f AS (SELECT *, list_position([{tx.sql_list(vocab.SUBJECTS)}], s) AS sp, row_number() OVER (PARTITION BY s ORDER BY NOT home, id) AS pos FROM u WHERE s IN ({tx.sql_list(vocab.SUBJECTS)}) QUALIFY pos <= 60),
+nu AS (SELECT sp, row_number() OVER (ORDER BY sp)::INTEGER AS tile FROM f GROUP BY 1),
+o AS (SELECT tile, id, pos, CASE WHEN len(list_filter(list_transform(string_split(s, ' '), lambda w: regexp_replace(w, 's$', '')), lambda w: length(w) > 2 AND contains(lower(title), w))) > 0 THEN 0 END AS worth
+  FROM f JOIN nu ON nu.sp = f.sp), {_GREEDY_ONE} SELECT sp::INTEGER AS tile, id FROM g JOIN nu ON nu.tile = g.tile""",
+    "rails": f"""WITH RECURSIVE {full_sql(BATCH, 60)}, {_HOME.replace(_ARCH + ', ', '', 1)},
+h AS (SELECT query_id, list(ranked.id ORDER BY rank) AS ids FROM ranked JOIN hm ON hm.id = ranked.id AND home GROUP BY 1),
+t AS (SELECT q.query_id AS tile, coalesce(ids, []) AS ids FROM q LEFT JOIN h ON h.query_id = q.query_id),
+g(tile, used, own) AS (SELECT 0, []::VARCHAR[], []::VARCHAR[] UNION ALL
+  SELECT t.tile, list_concat(used, list_filter(ids, lambda x: NOT list_contains(used, x))[1:12]), list_filter(ids, lambda x: NOT list_contains(used, x))[1:12] FROM g JOIN t ON t.tile = g.tile + 1),
+e AS (SELECT tile, unnest(own) AS id, generate_subscripts(own, 1) - 1 AS slot FROM g) SELECT tile, slot::INTEGER AS slot, id FROM e""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
+SQL["watch_page"] = f"""WITH nx AS ({SQL['related_clips'].replace('rank <= 6', 'rank <= 8')}), {_HOME},
+u AS (SELECT id, home, unnest(subjects) AS s FROM hm), f AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY NOT home, id) AS r FROM u QUALIFY r <= 20),
+m AS (SELECT sd.id AS seed, f.id, row_number() OVER (PARTITION BY sd.id ORDER BY r)::INTEGER AS rank FROM arch sd JOIN f ON f.s = sd.subjects[1] AND f.id <> sd.id WHERE left(md5(sd.id), 2) IN ('00', '01', '02') QUALIFY rank <= 8)
+SELECT seed, 'next' AS rail, rank, id FROM nx UNION ALL SELECT seed, 'more', rank, id FROM m"""

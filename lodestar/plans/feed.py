@@ -9,7 +9,7 @@ from lodestar.functions import text as tx
 from lodestar.functions import vocab
 from lodestar.operators import index, interpret, recommend, search
 from lodestar.plans.browsing import _HOME, _PL, _home, _places
-from lodestar.plans.text_search import _ARCH, _clips, _opened
+from lodestar.plans.text_search import _ARCH, _INDEX, _clips, _opened, full_sql
 from lodestar.session import cut, table
 
 # (user, question, kind, answer, implied subjects, context subjects, context words, context stop words)
@@ -21,7 +21,7 @@ ANSWERS = [
     (4, 2, "topic", "betel leaves", None, None, None, None), (5, 1, "place", "Belkegiri & Moripur", None, None, None, None), (5, 4, "topic", "deserts lakes snow", None, None, None, None),
 ]
 SIGNALS = [
-    (1, [], ["Rudimbaganj", "Moripur"], ["North"], ["delta"], ["boats", "fort"]), (2, [], [], ["South", "Northeast"], ["hills", "plateau"], ["music"]),
+    (5, ["kasravipara-yard-1", "nowhere"], ["Moripur"], ["South"], ["desert"], ["boats"]), (1, [], ["Rudimbaganj", "Moripur"], ["North"], ["delta"], ["boats", "fort"]), (2, [], [], ["South", "Northeast"], ["hills", "plateau"], ["music"]),
     (3, [], [], [], [], []), (4, [], ["Tushanagar"], [], [], ["birds", "old town", "lake"]),
 ]
 
@@ -95,9 +95,18 @@ def subject_tally(spark, sf_dir):  # noqa: ANN001, ANN201
     return recommend.tally(_home_scores(spark, sf_dir), F.explode("subjects"), 8)
 
 
+BOOSTED = [(1, "wooden toys"), (1, "potters"), (2, "betel leaves")]
+
+
+def thin_pages(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Users whose page would hold fewer than three clips of nine points or more."""
+    picked = _home_scores(spark, sf_dir).where("score >= 9").select("user_id", "id")
+    return recommend.thin(_signals(spark).withColumn("terms", F.array().cast("array<string>")), picked)
+
+
 def text_boost(spark, sf_dir):  # noqa: ANN001, ANN201
     built, clips = _opened(spark, sf_dir)
-    terms = spark.createDataFrame([(1, "wooden toys"), (1, "potters"), (2, "betel leaves")], "user_id int, term string")
+    terms = spark.createDataFrame(BOOSTED, "user_id int, term string")
     return recommend.text_boosts(terms, built, clips)
 
 
@@ -210,15 +219,51 @@ def slugs(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 _SIG = ", ".join(f"({u}, {p!r}::VARCHAR[], {s!r}::VARCHAR[], {r!r}::VARCHAR[], {t!r}::VARCHAR[], {j!r}::VARCHAR[])" for u, p, s, r, t, j in SIGNALS)
-_SCORE = f"""sg AS (SELECT * FROM (VALUES {_SIG}) v(user_id, s_places, s_states, s_regions, s_terrains, s_subjects)),
-cs AS (SELECT user_id, arch.id, place_id, subjects, round(CASE WHEN list_contains(s_states, pl.state) THEN 5.0 WHEN list_contains(s_regions, pl.region) THEN 2.0 ELSE 0.0 END
+_SCORE = f"""pw AS (SELECT place_id, round(least(1.6, greatest(0.6, ln(1 + (SELECT count(*) FROM arch) / count(*)) / 3.6)), 6) AS weight FROM arch WHERE place_id IS NOT NULL GROUP BY 1),
+sg AS (SELECT * FROM (VALUES {_SIG}) v(user_id, s_places, s_states, s_regions, s_terrains, s_subjects)),
+cs AS (SELECT user_id, arch.id, arch.place_id, subjects, round(CASE WHEN pl.id IS NOT NULL AND list_contains(s_places, arch.place_id) THEN 7.0 * pw.weight WHEN list_contains(s_states, pl.state) THEN 5.0 WHEN list_contains(s_regions, pl.region) THEN 2.0 ELSE 0.0 END
   + CASE WHEN list_contains(s_terrains, terrain) THEN 3.0 ELSE 0.0 END + 4.0 * len(list_intersect(subjects, s_subjects)), 6) AS score
-  FROM arch LEFT JOIN pl ON pl.id = arch.place_id CROSS JOIN sg)"""
+  FROM arch LEFT JOIN pl ON pl.id = arch.place_id LEFT JOIN pw ON pw.place_id = arch.place_id CROSS JOIN sg)"""
 _HS = f"WITH {_HOME}, {_SCORE}, hs AS (SELECT cs.* FROM cs JOIN hm ON hm.id = cs.id WHERE home AND score > 0)"
 _NORM = r"trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g'))"
 
+_US = r"[\s\v\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _sql_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_US}+|{_US}+$', '', 'g')"
+
+
+def _sql_clean(title: str) -> str:
+    """CTEs c1 to c4 over t (log_id, title): c4 (log_id, cleaned)."""
+    t = title
+    for p in vocab.TITLE_JUNK:
+        t = f"regexp_replace({t}, '{p}', ' ', 'g')"
+    return rf"""c1 AS (SELECT *, {t} AS t1 FROM t), c2 AS (SELECT *, list_filter(list_transform(string_split(t1, '|'), lambda p: {_sql_trim('p')}), lambda p: p <> '') AS ps FROM c1),
+c3 AS (SELECT *, CASE WHEN contains(t1, '|') AND len(ps) > 0 THEN list_filter(ps, lambda p: length(p) = list_max(list_transform(ps, lambda x: length(x))))[1] ELSE t1 END AS t3 FROM c2),
+c4 AS (SELECT * EXCLUDE (t1, ps, t3), {_sql_trim(f"regexp_replace(regexp_replace(regexp_replace(t3, '{_US}{{2,}}', ' ', 'g'), '{_US}+([,.:;])', chr(92) || '1', 'g'), '^(?:{_US}|[-–—:,.])+|(?:{_US}|[-–—:,])+$', '', 'g')")} AS cleaned FROM c3)"""
+
+
+_PARTS = rf"""p0 AS (SELECT playlist_id, title, list_filter(list_transform(string_split_regex(title, '(?i){_US}*(?:,|/|&|\band\b){_US}*'), lambda p: {_sql_trim('p')}), lambda p: len({tx.sql_meaningful('p')}) > 0) AS ps
+  FROM playlist_resolved WHERE title IS NOT NULL)"""
+_BLURB = r"""b1 AS (SELECT id, text, {t} AS t FROM {src}), b2 AS (SELECT *, left(t, 240) AS h FROM b1), b3 AS (SELECT *, CASE WHEN contains(h, '. ') THEN length(h) - instr(reverse(h), ' .') - 1 ELSE -1 END AS stop FROM b2),
+b4 AS (SELECT id, CASE WHEN length(t) < 40 THEN NULL WHEN length(t) <= 240 THEN t WHEN stop > 90 THEN left(h, stop + 1) ELSE regexp_replace(h, '{us}+$', '') || '…' END AS blurb FROM b3)"""
+_BLURB = _BLURB.replace("{t}", _sql_trim("regexp_replace(text, '" + vocab.BOILERPLATE + "', '')")).replace("{us}", _US)
+_FOREIGN = r"[^\p{Latin}\p{N}\p{P}\p{Z}]"
+_CARDS = f"""t AS (SELECT arch.id, title, text, subjects, name, state, district, country FROM arch LEFT JOIN pl ON pl.id = arch.place_id), {_sql_clean('title')},
+d1 AS (SELECT *, CASE {' '.join(f"WHEN subjects[1] = '{k}' THEN '{v}'" for k, v in vocab.SUBJECT_PHRASES.items())} ELSE 'Archive footage' END AS sp FROM c4),
+d2 AS (SELECT *, coalesce(contains(lower(cleaned), lower(name)) OR contains(lower(cleaned), lower(state)) OR coalesce(contains(lower(cleaned), lower(district)), false)
+    OR (length(left(lower(name), 6)) >= 5 AND contains(lower(cleaned), left(lower(name), 6))), false) AS named,
+  len(list_filter(string_split_regex(cleaned, '{_US}+'), lambda w: length(w) > 1)) > 0 AND (regexp_matches(cleaned, '{_FOREIGN}') OR regexp_matches(cleaned, '[a-z]{{3}}')) AS fit FROM d1),
+d3 AS (SELECT *, CASE WHEN NOT fit THEN CASE WHEN name IS NULL THEN sp ELSE sp || ' in ' || name END
+  WHEN NOT regexp_matches(cleaned, '{_FOREIGN}') AND name IS NOT NULL AND NOT named THEN regexp_replace(cleaned, '[.,;:!?]+$', '') || ', in ' || name ELSE cleaned END AS s FROM d2),
+d4 AS (SELECT *, upper(s[1]) || s[2:] AS sentence FROM d3), d5 AS (SELECT *, contains(lower(sentence), lower(name)) AS said FROM d4),
+d6 AS (SELECT id, sentence, CASE WHEN name IS NULL THEN NULL WHEN country IS NOT NULL AND country <> '' AND country <> 'India'
+  THEN CASE WHEN name = country THEN CASE WHEN NOT said THEN country END WHEN said THEN country ELSE name || ', ' || country END
+  ELSE CASE WHEN said THEN CASE WHEN name <> state THEN state END WHEN name = state THEN state ELSE name || ', ' || state END END AS location FROM d5)"""
+
 _FUNCS = (
-    normalise, ngram_dictionary, greedy_match, user_signals, entity_split, word_aliases, place_weight, structural_score, place_tally, subject_tally, text_boost,
+    normalise, ngram_dictionary, greedy_match, user_signals, entity_split, word_aliases, place_weight, structural_score, place_tally, subject_tally, thin_pages, text_boost,
     context_filter, rank_by_answer, interleaved, shoot_similarity, feed, summaries, clean_titles, clip_cards, blurbs, share_codec, cookie_codec, slugs,
 )
 QUERIES = {f.__name__: f for f in _FUNCS}
@@ -227,12 +272,27 @@ SQL = {
     "ngram_dictionary": f"""WITH t AS (SELECT playlist_id, string_split({_NORM}, ' ') AS w FROM playlist_resolved WHERE title IS NOT NULL),
 g AS (SELECT playlist_id, i::INTEGER AS start, k::INTEGER AS size, array_to_string(w[i + 1 : i + k], ' ') AS phrase FROM t, unnest(range(1, 5)) a(k), unnest(range(0, len(w))) b(i) WHERE i + k <= len(w))
 SELECT playlist_id, start, size, phrase FROM g WHERE phrase IN (SELECT place_key FROM gazetteer)""",
+    "entity_split": f"""WITH {_PARTS} SELECT playlist_id, CASE WHEN len(ps) > 1 THEN array_to_string(list_filter(ps, lambda p, i: list_position(ps, p) = i), ' ; ') ELSE title END AS parts FROM p0""",
+    "word_aliases": """SELECT playlist_id, array_to_string(list_transform(regexp_extract_all(title, '[A-Za-z]+|[^A-Za-z]+'), lambda p: CASE lower(p) WHEN 'river' THEN 'nadi' WHEN 'birds' THEN 'pakshi' ELSE p END), '') AS aliased
+FROM playlist_resolved WHERE title IS NOT NULL""",
+    "clean_titles": f"WITH t AS (SELECT log_id, title FROM youtube_items WHERE title IS NOT NULL), {_sql_clean('title')} SELECT log_id, cleaned FROM c4",
+    "clip_cards": f"WITH {_ARCH}, {_PL}, {_CARDS}, {_BLURB.replace('{src}', 'arch')} SELECT d6.id, sentence, location, blurb FROM d6 JOIN b4 ON b4.id = d6.id",
+    "text_boost": f"""WITH {full_sql([(i, q) for i, (_, q) in enumerate(BOOSTED)], 120)},
+n AS (SELECT query_id, count(*) AS hits FROM ranked GROUP BY 1),
+w AS (SELECT query_id, max(ln(1 + (n_docs - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5))) AS w FROM q0 LEFT JOIN terms ON terms.term = q0.term CROSS JOIN stats GROUP BY 1),
+u AS (SELECT * FROM (VALUES {', '.join(f"({i}, {u})" for i, (u, _) in enumerate(BOOSTED))}) v(query_id, user_id))
+SELECT user_id, id, round(least(2.0, sum((1 - (rank - 1) / hits) * least(1.6, greatest(0.35, w / 4.5)))), 6) AS boost FROM ranked JOIN n USING (query_id) JOIN w USING (query_id) JOIN u USING (query_id) GROUP BY 1, 2""",
+    "rank_by_answer": f"""WITH {_INDEX}, w AS (SELECT * FROM (VALUES ('potters'), ('dusk')) v(word)), r AS (SELECT word, {tx.sql_tokens('word')}[1] AS t FROM w),
+x AS (SELECT word, least(1.6, greatest(0.35, ln(1 + (n_docs - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) / 4.5)) AS rarity FROM r LEFT JOIN terms ON terms.term = t CROSS JOIN stats)
+SELECT id, round((SELECT coalesce(sum(rarity), 0) FROM x WHERE contains(lower(title), word)), 6) AS score FROM arch ORDER BY score DESC, length(title), id LIMIT 10""",
     "place_weight": f"""WITH {_ARCH} SELECT place_id, round(least(1.6, greatest(0.6, ln(1 + (SELECT count(*) FROM arch) / count(*)) / 3.6)), 6) AS weight FROM arch WHERE place_id IS NOT NULL GROUP BY 1""",
     "structural_score": f"WITH {_ARCH}, {_PL}, {_SCORE} SELECT user_id, id, score FROM cs WHERE score > 0",
     "place_tally": f"""{_HS}, t AS (SELECT user_id, place_id AS value, count(*) AS n, min((-score, id)) AS first FROM hs WHERE place_id IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT user_id, value, n FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first, value) <= 10""",
     "subject_tally": f"""{_HS}, u AS (SELECT user_id, unnest(subjects) AS value, score, id FROM hs), t AS (SELECT user_id, value, count(*) AS n, min((-score, id)) AS first FROM u GROUP BY 1, 2)
 SELECT user_id, value, n FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first, value) <= 8""",
+    "thin_pages": f"""{_HS}, n AS (SELECT user_id, count(*) AS n FROM hs WHERE score >= 9 GROUP BY 1)
+SELECT sg.user_id, len(s_places) + len(s_states) + len(s_regions) + len(s_terrains) + len(s_subjects) = 0 OR coalesce(n, 0) < 3 AS thin FROM sg LEFT JOIN n ON n.user_id = sg.user_id""",
     "context_filter": f"""WITH {_ARCH} SELECT id FROM arch WHERE NOT regexp_matches(title, '(?i)\\b(quarter|fog)') AND (list_has_any(subjects, ['crafts', 'village']) OR regexp_matches(title, '(?i)\\b(potter|weav)'))""",
     "interleaved": f"""WITH {_ARCH}, s AS (SELECT id, unnest(subjects) AS s FROM arch), l AS (SELECT id, CASE s WHEN 'boats' THEN 0 ELSE 1 END AS list_no, row_number() OVER (PARTITION BY s ORDER BY id) AS o
   FROM s WHERE s IN ('boats', 'fort')), f AS (SELECT id, min((o, list_no)) AS k FROM l GROUP BY 1) SELECT 1 AS answer_id, row_number() OVER (ORDER BY k, id)::INTEGER AS ord, id FROM f""",

@@ -136,7 +136,19 @@ def gazetteer_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "gazetteer").withColumnsRenamed({"place_name": "name", "state_name": "state"})
     world = archive.places_of(table(spark, sf_dir, "places")).select(*cols)
     made = etl.gazetteer_of(g.where("kind = 'state'").select(*cols), g.where("kind = 'city'").select(*cols), world)
-    return made.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("place_key").alias("keys"))
+    return made.select("place_key", "kind", "name", "district", "terrain", F.round("lat", 6).alias("lat"))
+
+
+def export_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the log's fields, read as a spreadsheet export (the id column, else a link in the description), that the
+    archive does not hold."""
+    rows = table(spark, sf_dir, "youtube_items").select(F.col("log_id").alias("n"), F.col("video_id").alias("id"), F.col("description").alias("link"), "title")
+    return etl.export_ids(rows, _clips(spark, sf_dir))["missing"].select("id", "n")
+
+
+def export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "youtube_items").select(F.col("log_id").alias("n"), F.col("video_id").alias("id"), F.col("description").alias("link"), "title")
+    return etl.export_ids(rows, _clips(spark, sf_dir))["counts"]
 
 
 _TRIM = r"[\s\v\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{001C}-\x{001F}]+"
@@ -184,11 +196,14 @@ ac AS (SELECT al.vid AS id, y.title, prose, {_REJ.replace('title', 'y.title')} A
   CASE WHEN rejected IS NULL THEN coalesce(st.subjects, []) ELSE [] END AS subjects, {_YEAR.replace('title', 'y.title').replace('prose', 'zn.prose')} AS year, y.published_at AS uploaded_at
   FROM al JOIN youtube_items y ON y.log_id = al.log_id JOIN zn ON zn.id = al.log_id LEFT JOIN bp ON bp.id = al.log_id LEFT JOIN st ON st.id = al.log_id)"""
 
+_EXPORT = r"""x AS (SELECT log_id AS n, coalesce(CASE WHEN regexp_full_match(video_id, '[A-Za-z0-9_-]{11}') THEN video_id END,
+  nullif(regexp_extract(description, '(?:v=|youtu\.be/|/shorts/|/video/)([A-Za-z0-9_-]{11})(?:[^A-Za-z0-9_-]|$)', 1), '')) AS id FROM youtube_items)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         zones, place_candidates, best_place, subject_scores, subject_tags, extract_year, reject_rules, ingest_clips, ingest_diagnostics, ingest_report,
-        used_places, tombstone_antijoin, merge_upsert, roundrobin_slice, known_video_ids, incremental_sync, backfill_batches, reconcile, pending_playlists, gazetteer_merge,
+        used_places, tombstone_antijoin, merge_upsert, roundrobin_slice, known_video_ids, incremental_sync, backfill_batches, reconcile, pending_playlists, gazetteer_merge, export_missing, export_counts,
     )
 }
 SQL = {
@@ -224,6 +239,15 @@ SELECT at_ AS at, id FROM l WHERE NOT seen AND at_ <= coalesce((SELECT min(at_)
 SELECT ceil(row_number() OVER (ORDER BY id) / 50)::BIGINT AS batch, id FROM u""",
     "reconcile": f"""WITH {_ARCH}, a AS (SELECT DISTINCT {_VIDEO} AS id FROM youtube_items) SELECT id, 'dead' AS state FROM arch WHERE id NOT IN (SELECT id FROM a WHERE id IS NOT NULL)
 UNION ALL SELECT DISTINCT video_id, 'revived' FROM tombstones WHERE video_id IN (SELECT id FROM a)""",
+    "export_missing": f"WITH {_ARCH}, {_EXPORT} SELECT id, min(n) AS n FROM x WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM arch) GROUP BY 1",
+    "export_counts": f"WITH {_EXPORT} SELECT count(*) AS rows, count(*) - count(id) AS bad, count(DISTINCT id) AS ids, count(id) - count(DISTINCT id) AS duplicates FROM x",
+    "gazetteer_merge": r"""WITH g AS (SELECT place_name AS name, district, state_name AS state, country, region, terrain, lat, lng, kind, CASE kind WHEN 'state' THEN 0 ELSE 1 END AS level FROM gazetteer
+UNION ALL SELECT name, district, state, country, region, terrain, lat, lng, CASE WHEN name = country OR name = state THEN 'state' ELSE 'city' END, 2 FROM (
+  SELECT place_id, place_name AS name, district, state_name AS state, coalesce(country, 'India') AS country, region, terrain, lat, lng FROM places WHERE place_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY place_name NULLS LAST, district NULLS LAST) = 1)),
+k AS (SELECT *, regexp_replace(lower(trim(name)), '\s+', ' ', 'g') AS place_key FROM g)
+SELECT place_key, kind, name, district, terrain, round(lat, 6) AS lat FROM k QUALIFY row_number() OVER (PARTITION BY place_key ORDER BY level DESC, coalesce(name, '') DESC, coalesce(state, '') DESC,
+  coalesce(district, '') DESC, coalesce(terrain, '') DESC, coalesce(region, '') DESC, coalesce(country, '') DESC, coalesce(lat, -999) DESC, coalesce(lng, -999) DESC) = 1""",
     "pending_playlists": """SELECT count(*) AS playlists, coalesce(sum(item_count), 0)::BIGINT AS items, ceil(coalesce(sum(item_count), 0) / 50)::BIGINT AS units
 FROM playlist_resolved WHERE item_count > 0 AND place_id IS NULL""",
 }

@@ -146,7 +146,20 @@ def search_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search as a user meets it: repair, spellings, relaxation, demotion, phrases, collisions."""
     built, clips = _opened(spark, sf_dir)
     protected = search.protected_words(archive.places_of(table(spark, sf_dir, "places")))
-    return search.search(_batch(spark), built, clips, 60, protected, search.variants(spark))
+    found = search.search(_batch(spark), built, clips, 60, protected, search.variants(spark))
+    return found.withColumn("score", F.round("score", 4))
+
+
+#: One-word searches whose commonest titles a rule leaves out.
+COLLIDING = [(1, "potters"), (2, "Kingfishers "), (3, "dusk"), (4, "potters dusk")]
+COLLIDING_RULES = ((r"(?i)^potters$", r"(?i)potters\s+(?:[a-m]|quarter\b)"), (r"(?i)^kingfishers$", r"(?i)kingfishers\s+at"), (r"(?i)^dusk$", r"(?i)\bat\s+dusk"))
+
+
+def search_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of which the rules leave out most hits: all others come out, however far down they stood."""
+    built, clips = _opened(spark, sf_dir)
+    asked = spark.createDataFrame(COLLIDING, "query_id int, query string")
+    return search.search(asked, built, clips, 60, rules=COLLIDING_RULES)
 
 
 _ARCH = """arch AS (SELECT clip_id AS id, coalesce(title, '') AS title, coalesce(text, '') AS text, place_id, coalesce(subjects, []) AS subjects,
@@ -190,6 +203,36 @@ def _variant_rows() -> str:
 
 _PLAIN = f"WITH {_INDEX}, {_QUERY}, {_SCORED.format(qt='qt')}"
 _TOP = "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank, id, score FROM kept QUALIFY rank <= 20"
+
+
+def full_sql(rows: list[tuple[int, str]], limit: int, repair: bool = False, spellings: bool = False, rules: tuple[tuple[str, str], ...] = vocab.COLLISIONS) -> str:
+    """CTEs of a whole search, the last being ranked (query_id, rank, id, score)."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(q)})" for i, q in rows)
+    typed = f"""q AS (SELECT * FROM (VALUES {values}) v(query_id, query)),
+q0 AS (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) AS ix FROM (SELECT query_id, {tx.sql_tokens('query')} AS t FROM q)),
+pw AS (SELECT DISTINCT unnest({tx.sql_words('name')}) AS w FROM (SELECT place_name AS name FROM places UNION ALL SELECT unnest([{tx.sql_list(vocab.SUBJECTS)}]))),
+ow AS (SELECT t.term, coalesce((SELECT df FROM terms x WHERE x.term = t.term), 0) AS own, coalesce((SELECT df FROM terms x WHERE x.term = {tx.sql_stem('t.term')}), 0) AS sdf
+  FROM (SELECT DISTINCT term FROM q0) t),
+rc AS (SELECT ow.term, x.term AS word, x.df, levenshtein(ow.term, x.term) AS d FROM ow JOIN terms x ON left(x.term, 2) = left(ow.term, 2) AND x.term <> ow.term
+  WHERE {repair} AND length(ow.term) >= 4 AND greatest(own, sdf) <= 3 AND ow.term NOT IN (SELECT w FROM pw WHERE length(w) >= 4) AND length(x.term) >= 4 AND x.df >= greatest(8, 8 * own)),
+rp AS (SELECT term, word FROM rc WHERE d <= CASE WHEN length(term) >= 7 THEN 2 ELSE 1 END QUALIFY row_number() OVER (PARTITION BY term ORDER BY df / d DESC, word) = 1),
+qt AS (SELECT query_id, ix, coalesce(word, q0.term) AS term FROM q0 LEFT JOIN rp ON rp.term = q0.term)"""
+    spelt = _VARIANTS.format(rows=_variant_rows() if spellings else "('', '')")
+    clash = " OR ".join(f"(regexp_matches(trim(query), {quoted(a)}) AND regexp_matches(title || ' ' || text, {quoted(b)}))" for a, b in rules)
+    return f"""{_INDEX}, {typed}, {spelt}, {_SCORED.format(qt='qv')},
+da AS (SELECT query_id, ix, {tx.sql_tokens('term')} AS t FROM qt),
+du AS (SELECT query_id, ix, unnest(t) AS term FROM da UNION ALL SELECT query_id, ix, NULL FROM da WHERE len(t) = 0),
+dr AS (SELECT query_id, ix, coalesce(least(1.6, greatest(0.35, max(CASE WHEN du.term IS NOT NULL THEN ln(1 + (n_docs - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) END) / 4.5)), 1.0) AS r
+  FROM du LEFT JOIN terms ON terms.term = du.term CROSS JOIN stats GROUP BY 1, 2),
+dn AS (SELECT q.query_id FROM q JOIN (SELECT query_id FROM dr GROUP BY 1 HAVING max(r) < 1.15) m ON m.query_id = q.query_id WHERE NOT {tx.sql_any('query', (vocab.ASKS_SPEAKING,))}),
+al AS (SELECT kept.query_id, query, kept.id, title, CASE WHEN kept.query_id IN (SELECT query_id FROM dn) AND {tx.sql_any('title', vocab.SPEAKING)} THEN round(score * 0.3, 6) ELSE score END AS score
+  FROM kept JOIN q ON q.query_id = kept.query_id JOIN arch ON arch.id = kept.id WHERE NOT ({clash})),
+bs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS base, {tx.sql_words('query')} AS qw FROM al),
+bo AS (SELECT *, CASE WHEN base <= 400 THEN round(score * (1 + 0.35 * len(list_filter(range(1, len(qw)), lambda i: contains(lower(title), qw[i] || ' ' || qw[i + 1])))), 6) ELSE score END AS s FROM bs),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY base > 400, s DESC, base)::INTEGER AS rank, id, s AS score FROM bo QUALIFY rank <= {limit})"""
+
+
 _TYPED = ", ".join(f"('{w}')" for w in TYPED)
 _PROBES = ", ".join(f"({i}, '{t}')" for i, t in SPEAKING_PROBES)
 
@@ -197,7 +240,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         index_build, tokens_per_doc, stem_table, term_df, doc_lengths, postings, index_stats, term_rarity, bm25_topk, bm25_synonyms, spell_repair, match_counts,
-        required_relaxation, phrase_promotion, talking_head_titles, talking_head_demote, count_matches, collision_filter, search_full,
+        required_relaxation, phrase_promotion, talking_head_titles, talking_head_demote, count_matches, collision_filter, search_full, search_collisions,
     )
 }
 SQL = {
@@ -236,6 +279,8 @@ r AS (SELECT query_id, ix, coalesce(least(1.6, greatest(0.35, max(CASE WHEN u.te
   FROM u LEFT JOIN terms ON terms.term = u.term CROSS JOIN stats GROUP BY 1, 2)
 SELECT q.query_id FROM q JOIN (SELECT query_id FROM r GROUP BY 1 HAVING max(r) < 1.15) m ON m.query_id = q.query_id WHERE NOT {tx.sql_any('query', (vocab.ASKS_SPEAKING,))}""",
     "count_matches": f"{_PLAIN} SELECT q.query_id, count(kept.id) AS n FROM q LEFT JOIN kept ON kept.query_id = q.query_id GROUP BY 1",
+    "search_full": f"WITH {full_sql(BATCH, 60, True, True)} SELECT query_id, rank, id, round(score, 4) AS score FROM ranked",
+    "search_collisions": f"WITH {full_sql(COLLIDING, 60, rules=COLLIDING_RULES)} SELECT query_id, rank, id, score FROM ranked",
     "collision_filter": f"""WITH {_ARCH}, a AS (SELECT * FROM (VALUES (1, 'kingfishers'), (2, 'Potters'), (3, 'potters quarter')) v(query_id, query))
 SELECT query_id, id FROM a, arch WHERE NOT (regexp_matches(query, '(?i)^kingfishers$') AND regexp_matches(title || ' ' || text, '(?i)kingfishers\\s+at'))
   AND NOT (regexp_matches(query, '(?i)^potters$') AND regexp_matches(title || ' ' || text, '(?i)potters\\s+quarter\\b'))""",
