@@ -82,3 +82,33 @@ def migrate_state(state: DataFrame, default: Column | None = None) -> tuple[Data
     if "items" not in state.columns:
         return state, state.select(F.lit(None).cast("string").alias("item")).limit(0)
     return state.drop("items"), state.select(F.explode("items").alias("item"))
+
+
+STATE = "pageToken string, count long, donePlaylists array<string>, backfillCursor long, reconciledAt string"
+
+
+def save_state(spark: SparkSession, path: str, **state: object) -> None:
+    """Write the crawl state (fields of STATE) as one JSON row, beside the one before until it is complete."""
+    spark.createDataFrame([tuple(state.get(f.split()[0]) for f in STATE.split(", "))], STATE).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_state(spark: SparkSession, path: str, log_path: str | None = None) -> dict[str, object]:
+    """The crawl state; a fresh one, {count: 0}, if it is absent or unreadable. An old state with its items inline is
+    migrated: they are appended to the log at log_path, unless there is one, and only token and count stay."""
+    if not _exists(spark, path):
+        return {"count": 0}
+    state = spark.read.option("multiLine", True).json(path)
+    if "items" in state.columns:
+        items = migrate_state(state)[1].select("item.*")
+        if log_path and not _exists(spark, log_path):
+            append_log(items, log_path)
+        token = state.first()["pageToken"] if "pageToken" in state.columns else None
+        return {"pageToken": token, "count": items.count()}
+    row = spark.read.schema(STATE).option("multiLine", True).option("mode", "PERMISSIVE").json(path).first()
+    out = {k: v for k, v in (row.asDict() if row else {}).items() if v is not None}
+    return {"count": 0, **out}
+
+
+def read_keywords(spark: SparkSession, path: str) -> DataFrame:
+    """(subject, keyword) of a CSV with these two columns: a vocabulary for the tagger in place of the rule-made one."""
+    return read_csv(spark, path, "subject string, keyword string").where("subject is not null and keyword is not null").select("subject", F.lower(F.trim("keyword")).alias("keyword")).where("keyword <> ''").distinct()

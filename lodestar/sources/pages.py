@@ -10,6 +10,8 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -19,6 +21,14 @@ class QuotaPaused(RuntimeError):
     """The budget of calls is used up; reading can go on from the last offset."""
 
 
+#: Rows of a page by option kind: videos, a channel's playlists, or channels with the list of their uploads.
+_SHAPES = {
+    "items": "video_id string, title string, description string, published_at string, playlist_title string, page string",
+    "playlists": "playlist_id string, title string, item_count long, page string",
+    "channels": "channel_id string, uploads string, page string",
+}
+
+
 class RecordedPages(DataSource):
     """format("recorded_pages"): one JSON file a page, {nextPageToken?, items: [{id, title, description, publishedAt}]}.
 
@@ -34,7 +44,7 @@ class RecordedPages(DataSource):
         return "recorded_pages"
 
     def schema(self) -> str:
-        return "video_id string, title string, description string, published_at string, playlist_title string, page string"
+        return _SHAPES[self.options.get("kind", "items")]
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _AllPages(self.options)
@@ -52,6 +62,11 @@ def _page(options, token: str) -> dict:  # noqa: ANN001
 
 
 def _rows(options, token: str, page: dict) -> list[tuple]:  # noqa: ANN001
+    kind = options.get("kind", "items")
+    if kind == "playlists":
+        return [(i.get("id"), i.get("title"), i.get("itemCount"), token) for i in page.get("items", [])]
+    if kind == "channels":
+        return [(i.get("id"), i.get("uploads"), token) for i in page.get("items", [])]
     return [(i.get("id"), i.get("title"), i.get("description"), i.get("publishedAt"), options.get("playlist"), token) for i in page.get("items", [])]
 
 
@@ -168,6 +183,19 @@ class _SheetReader(DataSourceReader):
         return shared[int(v.text)] if cell.get("t") == "s" else v.text
 
 
+def uploads_of(spark, path: str, channel: str) -> str:  # noqa: ANN001
+    """The list of a channel's uploads from recorded channel pages; LookupError without one."""
+    row = spark.read.format("recorded_pages").options(path=path, kind="channels").load().where(F.col("channel_id") == channel).select("uploads").first()
+    if row is None or not row.uploads:
+        raise LookupError(f"no list of uploads for {channel}")
+    return row.uploads
+
+
+def playlists_of(spark, path: str, budget: int = 1_000_000) -> DataFrame:  # noqa: ANN001
+    """(playlist_id, title, item_count) of all recorded pages of a channel's playlists."""
+    return spark.read.format("recorded_pages").options(path=path, kind="playlists", budget=str(budget)).load().select("playlist_id", "title", "item_count")
+
+
 def register(spark) -> None:  # noqa: ANN001
     """Make both formats known to a session."""
     spark.dataSource.register(RecordedPages)

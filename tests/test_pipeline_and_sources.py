@@ -1,6 +1,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import audit, etl
@@ -75,7 +76,10 @@ def test_recorded_pages_and_spreadsheets(spark, tmp_path):
     (folder / "two.json").write_text(json.dumps({"items": [{"id": "3"}], "nextPageToken": "three"}))
     (folder / "three.json").write_text(json.dumps({"error": "quotaExceeded"}))
     read = lambda **o: [r.video_id for r in spark.read.format("recorded_pages").options(path=str(folder), playlist="P", **o).load().collect()]
-    assert read() == ["1", "2", "3"] and read(budget="1") == ["1", "2"]
+    assert read(partial="true") == ["1", "2", "3"] and read(budget="1", partial="true") == ["1", "2"]
+    for paused in ({}, {"budget": "1"}):  # a short table must not look whole
+        with pytest.raises(Exception, match="QuotaPaused"):
+            read(**paused)
     sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join(
         f'<row>{"".join(f"<c r=\"{c}{n}\" t=\"inlineStr\"><is><t>{v}</t></is></c>" for c, v in zip("AB", r))}</row>' for n, r in enumerate([("Id", "Title"), ("x1", "One"), ("x2", "Two")], 1)
     ) + "</sheetData></worksheet>"
@@ -100,3 +104,52 @@ def test_seeded_positions_and_sample(spark):
     assert a == b and len(set(a)) == 100 and a == sorted(a) and audit.sample_positions(5, 3, 1) == [0, 1, 2]
     picked = audit.seeded_sample(spark.range(2000), [F.col("id")], 100, 42)
     assert sorted(r.pos for r in picked.collect()) == a == sorted(r.id for r in picked.collect())
+
+
+def test_a_batch_rewrites_only_the_buckets_that_it_touches(spark, tmp_path):
+    target = str(tmp_path / "first")
+    frame = lambda ids: spark.createDataFrame([(10 - i, f"id{i}") for i in ids], "log_id long, video_id string")
+    for ids in (range(8), [3], [3], []):
+        ingest.upsert_first(frame(ids), target, F.col("video_id"), buckets=4)
+    number, now = ingest.manifest(spark, target)
+    assert number == 3 and sorted(now.values()).count(1) == len(now) - 1 and max(now.values()) == 3
+    assert sorted((r.id, r.log_id) for r in ingest.current(spark, target)[1].collect()) == [(f"id{i}", 10 - i) for i in range(8)]
+    assert len(list((tmp_path / "first" / "manifest").glob("m*"))) == 2
+
+
+def test_crawl_state_listings_and_keywords(spark, tmp_path):
+    pages.register(spark)
+    state, log = str(tmp_path / "state"), str(tmp_path / "log")
+    assert files.load_state(spark, state) == {"count": 0}
+    files.save_state(spark, state, count=7, donePlaylists=["a"], pageToken="t")
+    assert files.load_state(spark, state) == {"count": 7, "donePlaylists": ["a"], "pageToken": "t"}
+    (tmp_path / "old.json").write_text(json.dumps({"pageToken": "x", "items": [{"snippet": {"title": "t", "resourceId": {"videoId": "v"}}}]}))
+    assert files.load_state(spark, str(tmp_path / "old.json"), log) == {"pageToken": "x", "count": 1}
+    assert files.flat_items(files.read_log(spark, log)).first().video_id == "v"
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    (folder / "first.json").write_text(json.dumps({"items": [{"id": "p1", "title": "One", "itemCount": 3}], "nextPageToken": "two"}))
+    (folder / "two.json").write_text(json.dumps({"items": [{"id": "p2", "title": "Two", "itemCount": 0}]}))
+    assert sorted(map(tuple, pages.playlists_of(spark, str(folder)).collect())) == [("p1", "One", 3), ("p2", "Two", 0)]
+    (folder / "first.json").write_text(json.dumps({"items": [{"id": "c", "uploads": "u"}]}))
+    assert pages.uploads_of(spark, str(folder), "c") == "u"
+    with pytest.raises(LookupError):
+        pages.uploads_of(spark, str(folder), "d")
+    (tmp_path / "k.csv").write_text("subject,keyword\nrailway,Train \nrailway,\n")
+    words = files.read_keywords(spark, str(tmp_path / "k.csv"))
+    items = etl.with_zones(spark.createDataFrame([(1, "Night train", "a train", None), (2, "Bus", "", None)], ITEMS))
+    assert [tuple(r) for r in etl.subject_scores(items, words).collect()] == [(1, "railway", 5)]
+
+
+def test_names_and_keywords_of_any_length_are_found(spark):
+    name = "old fort road junction by the river"
+    g = spark.createDataFrame([(name, "city")], "place_key string, kind string")
+    none = spark.createDataFrame([], "alias string, place_key string")
+    items = etl.with_zones(spark.createDataFrame([(1, f"Trams at {name.title()}", "", None)], ITEMS))
+    assert etl.best_place(etl.place_candidates(items, etl.place_names(g, none))).first().place_key == name
+    words = spark.createDataFrame([("x", name)], "subject string, keyword string")
+    assert etl.subject_scores(items, words).first().score == 3
+    counts = audit.keyword_counts(items.select("id", F.col("title").alias("text")), words.select("keyword"))
+    assert counts.first().n == 1
+    nouns = audit.proper_nouns(spark.createDataFrame([(1, "x " * 1500 + "Zephyr Quay")] * 3, "id int, title string"), spark.createDataFrame([], "name string"))
+    assert sorted((r.phrase, r.n) for r in nouns.collect()) == [("Quay", 3), ("Zephyr", 3), ("Zephyr Quay", 3)]
