@@ -36,7 +36,7 @@ KNOWN_TEXTS, HELD = 3, 200_000
 LEARNT = 6000
 _TAIL = 400
 #: Words that stand before another word or a stop are whole.
-_WHOLE = re.compile(r"\w+(?=\W+\w)|\w+(?=[.!?।,;:])")
+_WHOLE = re.compile(r"\w+(?=[.!?।,;:]|\W+\w)")
 _DIGITS, _TOKEN = re.compile(r"\d+"), re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -204,29 +204,32 @@ def counted(rows: DataFrame, below: int) -> DataFrame:
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+        words: Counter = Counter()
+        ends: Counter = Counter()
 
         def flush() -> pd.DataFrame:
+            kinds = [0] * len(words) + [1] * len(ends)
             out = pd.DataFrame(
-                {"kind": [int(k[0] is not None) for k in held], "src": [k[0] for k in held], "n": pd.array([k[1] for k in held], dtype="Int32"),
-                 "word": [k[2] for k in held], "texts": list(held.values()), "limits": None}
+                {"kind": kinds, "src": [None] * len(words) + [k[0] for k in ends], "n": pd.array([None] * len(words) + [k[1] for k in ends], dtype="Int32"),
+                 "word": [*words, *(k[2] for k in ends)], "texts": [*words.values(), *ends.values()], "limits": None}
             )
-            held.clear()
+            words.clear()
+            ends.clear()
             return out
 
         for p in parts:
             picked = []
             for i, s, n, b, ls in zip(p.row_id, p.src, p.n_chars, p.body, p.limits):
-                held.update((None, None, w) for w in set(_WHOLE.findall(b.lower())))
+                words.update(set(_WHOLE.findall(b.lower())))
                 if n in ls:
-                    held[s, int(n), unmarked(b)[1]] += 1
+                    ends[s, int(n), unmarked(b)[1]] += 1
                 if (draw := drawn(s, n, b, i)) < below:
                     picked.append((2, s, int(n), b[-LEARNT:], draw, ls))
-                if len(held) >= HELD:
+                if len(words) + len(ends) >= HELD:
                     yield flush()
             if picked:
                 yield pd.DataFrame(picked, columns=["kind", "src", "n", "word", "texts", "limits"])
-        if held:
+        if words or ends:
             yield flush()
 
     return rows.select("row_id", "src", "n_chars", "body", "limits").mapInPandas(run, _COUNTED)
