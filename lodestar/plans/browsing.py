@@ -15,6 +15,10 @@ from lodestar.session import table
 DISTANT, SIGNAL = r"(?i)\b(?:dusk|harbour|fog)\b", r"(?i)\bmarket\b"
 
 
+#: Rows that break the rules: a lost place, a strange tag, a placeholder with a video's id, and all of these.
+PLANTED = [("planted-1", "nowhere-at-all", ["boats"], False), ("planted-2", None, ["boats", "nonsense"], False), ("planted-3", None, [], True), ("SEED_4", None, [], True), ("planted-5", "nowhere-at-all", ["odd"], True)]
+
+
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.places_of(table(spark, sf_dir, "places"))
 
@@ -37,7 +41,10 @@ def duplicate_count(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def integrity_violations(spark, sf_dir):  # noqa: ANN001, ANN201
-    return archive.violations(_clips(spark, sf_dir), _places(spark, sf_dir))
+    """Rows that break a rule, those of the archive and a few planted ones of each kind."""
+    own = _clips(spark, sf_dir).select("id", "place_id", "subjects", "is_placeholder")
+    planted = spark.createDataFrame(PLANTED, "id string, place_id string, subjects array<string>, is_placeholder boolean")
+    return archive.violations(own.unionByName(planted), _places(spark, sf_dir))
 
 
 def coverage_map(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -221,7 +228,9 @@ QUERIES = {f.__name__: f for f in _NAMES}
 SQL = {
     "dedupe_first": f"WITH {_ARCH} SELECT id, title, place_id, array_to_string(subjects, '|') AS subjects, year FROM arch",
     "duplicate_count": "SELECT count(*) AS rows, count(DISTINCT clip_id) AS ids, count(*) - count(DISTINCT clip_id) AS duplicates FROM clips WHERE clip_id IS NOT NULL",
-    "integrity_violations": f"""WITH {_ARCH}, {_PL} SELECT id, 'place' AS rule FROM arch WHERE place_id IS NOT NULL AND place_id NOT IN (SELECT id FROM pl)
+    "integrity_violations": f"""WITH {_ARCH.replace('arch AS', 'own AS', 1)}, {_PL}, arch AS (SELECT id, place_id, subjects, is_placeholder FROM own UNION ALL
+  SELECT * FROM (VALUES {', '.join(f"('{i}', {repr(p) if p else 'NULL'}, {t!r}::VARCHAR[], {h})" for i, p, t, h in PLANTED)}) v(id, place_id, subjects, is_placeholder))
+SELECT id, 'place' AS rule FROM arch WHERE place_id IS NOT NULL AND place_id NOT IN (SELECT id FROM pl)
 UNION ALL SELECT id, 'subject' FROM arch WHERE len(list_filter(subjects, lambda s: s NOT IN ({tx.sql_list(vocab.SUBJECTS)}))) > 0
 UNION ALL SELECT id, 'placeholder' FROM arch WHERE is_placeholder AND NOT starts_with(id, 'SEED_')""",
     "coverage_map": f"WITH {_ARCH}, s AS (SELECT place_id, unnest(subjects) AS subject FROM arch WHERE place_id IS NOT NULL) SELECT place_id, subject, count(*) AS n FROM s GROUP BY 1, 2",

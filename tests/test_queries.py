@@ -5,7 +5,9 @@ import os
 import pytest
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ("p4_found", "p5_found", "term_df", "bm25_topk", "dedupe_first", "facets_subject", "zones", "merge_upsert", "structural_score", "decade_histogram")
+NAMES = ("p4_found", "p5_found", "term_df", "bm25_topk", "dedupe_first", "facets_subject", "zones", "merge_upsert", "structural_score", "decade_histogram",
+         "search_full", "search_collisions", "index_build", "place_covers", "rails", "watch_page", "classify_whole_titles", "seeded_sample", "gazetteer_merge", "clip_cards", "p4_regions", "p5_kept",
+         "integrity_violations")
 
 
 def test_every_oracle_has_a_query():
