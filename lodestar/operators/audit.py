@@ -101,9 +101,9 @@ def disagreements(found: DataFrame, one: str = "title", other: str = "playlist")
 
 def keyword_counts(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(keyword, n): rows (id, text) that hold each keyword (keyword) as whole words; 0 for those that none holds."""
-    from lodestar.operators.etl import most_words
+    from lodestar.operators.etl import runs_of
 
-    runs = texts.select("id", tx.words(F.col("text")).alias("w")).select("id", F.explode(tx.ngrams(F.col("w"), most_words(keywords, "keyword"))).alias("g"))
+    runs = texts.select("id", tx.words(F.col("text")).alias("w")).select("id", F.explode(runs_of(F.col("w"), keywords, "keyword")).alias("g"))
     n = runs.select("id", F.col("g.phrase").alias("keyword")).join(keywords, "keyword", "left_semi").distinct().groupBy("keyword").agg(F.count("*").alias("n"))
     return keywords.select("keyword").distinct().join(n, "keyword", "left").fillna(0, ["n"])
 

@@ -47,9 +47,22 @@ def place_names(gazetteer: DataFrame, aliases: DataFrame) -> DataFrame:
     return named.unionByName(known.select(F.col("place_key").alias("name"), "place_key", "kind", F.concat(F.lit("1"), "place_key").alias("seq")))
 
 
-def most_words(phrases: DataFrame, column: str = "phrase") -> int:
-    """How many words the longest phrase of a list has, at least one; the list is small against what is searched by it."""
-    return max(1, phrases.agg(F.max(F.size(tx.words(F.col(column))))).first()[0] or 1)
+#: Phrases of a list that may be written into the plan as a set.
+SET_PHRASES = 5_000
+
+
+def runs_of(words: Column, phrases: DataFrame, column: str = "phrase") -> Column:
+    """tx.ngrams of a column of words, as long as the longest phrase of a list (of words joined by a space).
+
+    If the list, counted, is short, runs that are none of its phrases are dropped by a set inside the plan before they
+    become rows; the join with the list that follows gives the same either way.
+    """
+    size = phrases.agg(F.count("*").alias("n"), F.max(F.size(F.split(column, " "))).alias("most")).first()
+    runs = tx.ngrams(words, max(1, size.most or 1))
+    if size.n > SET_PHRASES:
+        return runs
+    known = sorted({r[0] for r in phrases.select(column).where(F.col(column).isNotNull()).collect()})
+    return F.filter(runs, lambda g: g["phrase"].isin(*known)) if known else F.slice(runs, 1, 0)
 
 
 def place_candidates(zoned: DataFrame, names: DataFrame) -> DataFrame:
@@ -68,9 +81,9 @@ def place_candidates(zoned: DataFrame, names: DataFrame) -> DataFrame:
                       (("playlist", F.col("playlist")), ("title", F.col("title")), ("prose", first_sentences(F.col("prose"))))])
     long = zoned.select("id", F.explode(texts).alias("t")).select("id", "t.source", "t.text")
     long = long.withColumn("w", tx.words(F.col("text")))
-    most = most_words(names, "name")
-    runs = long.select("id", "source", "text", F.explode(F.array_distinct(F.transform(tx.ngrams(F.col("w"), most), lambda g: g["phrase"]))).alias("phrase"))
     keyed = names.withColumn("phrase", F.array_join(tx.words(F.col("name")), " ")).where("phrase <> ''")
+    found = F.array_distinct(F.transform(runs_of(F.col("w"), keyed), lambda g: g["phrase"]))
+    runs = long.select("id", "source", "text", F.explode(found).alias("phrase"))
     met = runs.join(keyed, "phrase")
     pattern = F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.col("name"), F.lit(r"\E(?![a-z0-9_])"))
     met = met.withColumn("at", F.regexp_instr("text", pattern)).where("at > 0")
@@ -101,8 +114,7 @@ def subject_scores(zoned: DataFrame, keywords: DataFrame) -> DataFrame:
 
     keywords has (subject, keyword). The words of a row are counted once and met with the keywords by equality.
     """
-    most = most_words(keywords, "keyword")
-    count = lambda w, z: F.transform(tx.ngrams(F.col(w), most), lambda g: F.struct(g["phrase"].alias("keyword"), F.lit(z).alias("zone")))
+    count = lambda w, z: F.transform(runs_of(F.col(w), keywords, "keyword"), lambda g: F.struct(g["phrase"].alias("keyword"), F.lit(z).alias("zone")))
     worded = zoned.select("id", _plain_words(F.col("title")).alias("wt"), _plain_words(F.col("prose")).alias("wp"))
     found = worded.select("id", F.explode(F.concat(count("wt", "t"), count("wp", "p"))).alias("g")).select("id", "g.keyword", "g.zone")
     met = found.join(keywords, "keyword").groupBy("id", "subject", "keyword").agg(

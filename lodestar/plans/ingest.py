@@ -10,7 +10,7 @@ from lodestar.functions import vocab
 from lodestar.operators import archive, dedupe, etl
 from lodestar.plans.delivery_and_places import _VIDEO
 from lodestar.plans.text_search import _ARCH, _clips
-from lodestar.session import table
+from lodestar.session import cut, table
 
 
 
@@ -37,17 +37,22 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("id", "prose", F.array_join("hashtags", " ").alias("hashtags"), "tail")
 
 
+def _zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's zones, written once, as tags and texts read them apart."""
+    return cut(etl.with_zones(_items(spark, sf_dir)).drop("description", "tail"))
+
+
 def place_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = etl.place_candidates(etl.with_zones(_items(spark, sf_dir)), _names(spark, sf_dir))
+    found = etl.place_candidates(_zoned(spark, sf_dir), _names(spark, sf_dir))
     return found.select("id", "source", "place_key", "locative", "origin").distinct()
 
 
 def best_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.best_place(etl.place_candidates(etl.with_zones(_items(spark, sf_dir)), _names(spark, sf_dir)))
+    return etl.best_place(etl.place_candidates(_zoned(spark, sf_dir), _names(spark, sf_dir)))
 
 
 def subject_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return etl.subject_scores(etl.with_zones(_items(spark, sf_dir)), _keywords(spark))
+    return etl.subject_scores(_zoned(spark, sf_dir), _keywords(spark))
 
 
 def subject_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
